@@ -19,6 +19,8 @@ from quarry.llm.common import ascii_lower, new_path, written
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": STORE,
+    # a store's folder (RocksDB reserves 4 MB for its manifest alone) goes once the batch is committed to the shared folder
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
