@@ -40,7 +40,6 @@ _ANY = regex.compile(_WORDS.format(L=r"\p{L}", N=r"\p{N}", s=r"\p{White_Space}",
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 _LATIN = re.compile(_WORDS.format(L=f"[{_L}]", N=f"[{_N}]", s=_S, l=_L, n=_N))
 _BEYOND = re.compile("[^\x00-ɏ]")
-_BREAK = re.compile(r"[.!?\n]")
 
 
 def default_path() -> str:
@@ -79,7 +78,6 @@ class RankArrayBpe:
         self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
         self._build(left << 20 | right)
         self.cache: dict[str, bytes] = {}
-        self.breaks: set[str] = set()
 
     def _build(self, keys: np.ndarray) -> None:
         """An open-addressed table from a pair of ids to its rank; equal pairs keep the first rank."""
@@ -168,7 +166,6 @@ class RankArrayBpe:
     def learn(self, words: Iterable[str]) -> None:
         """Put words into the cache: each one's ids as little-endian unsigned 32-bit integers."""
         words = list(words)
-        self.breaks.update(w for w in words if _BREAK.search(w))
         raw = [w.encode() for w in words]
         lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         order = np.argsort(lengths, kind="stable")
@@ -210,7 +207,7 @@ class RankArrayBpe:
                 group.append(self._parts(texts[k]))
                 size, k = size + len(texts[k]), k + 1
             if len(self.cache) > CACHED:
-                self.cache, self.breaks = {}, set()
+                self.cache = {}
             for i in self.special.values():
                 self.cache[i] = np.array([i], dtype="<u4").tobytes()  # type: ignore[index]
             found = [list(map(self.cache.get, words)) for words in group]

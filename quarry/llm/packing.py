@@ -130,14 +130,9 @@ class Packer:
         return out
 
 
-def sentence_breaks(codec, words: list, raw: list[bytes]) -> list[int]:
-    """Numbers of ids after words that end a sentence (they hold . ! ? or a line break)."""
-    breaks = codec.breaks
-    found = [k for k, w in enumerate(words) if w in breaks]
-    if not found:
-        return []
-    ends = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))) // 4
-    return ends[found].tolist()
+def sentence_ends(codec) -> np.ndarray:
+    """For each id whether a sentence ends after it: its bytes hold . ! ? or a line break."""
+    return np.array([any(c in b".!?\n" for c in x) for x in codec.bytes_of], dtype=bool)
 
 
 def pack(docs: DataFrame, length: int = LENGTH, end_id: int = 0, path: str | None = None) -> DataFrame:
@@ -153,6 +148,7 @@ def pack(docs: DataFrame, length: int = LENGTH, end_id: int = 0, path: str | Non
 
     def run(batches):
         codec = load(path)
+        ends = sentence_ends(codec)
         packer = Packer(length, TaskContext.get().partitionId() << 36)
         kinds = [pa.int64()] * 7
         names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
@@ -164,9 +160,9 @@ def pack(docs: DataFrame, length: int = LENGTH, end_id: int = 0, path: str | Non
 
         tail = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
-            for doc_id, (words, raw) in zip(b.column("doc_id").to_pylist(), codec.pieces(texts_of(b)), strict=True):
+            for doc_id, (_, raw) in zip(b.column("doc_id").to_pylist(), codec.pieces(texts_of(b)), strict=True):
                 ids = np.frombuffer(b"".join([*raw, tail]), dtype="<u4")
-                out += packer.add(doc_id, ids, sentence_breaks(codec, words, raw))
+                out += packer.add(doc_id, ids, (np.nonzero(ends[ids[:-1]])[0] + 1).tolist())
             if len(out) > 10_000:
                 yield batch()
                 out = []
