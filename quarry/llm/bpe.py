@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from quarry.llm.common import small_batches, texts_of
 
@@ -243,7 +244,7 @@ def encode(df: DataFrame, column: str = "text", into: str = "ids", path: str | N
     path = path or default_path()
     small_batches(df.sparkSession)
     df = df.drop(into)
-    schema = df.select("*").schema.add(into, "array<int>")
+    schema = df.select("*").schema.add(into, T.ArrayType(T.IntegerType()))
 
     def run(batches):
         codec = load(path)

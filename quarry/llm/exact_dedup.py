@@ -98,5 +98,5 @@ def exact_duplicates(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
     """The rows of docs that stay, with docs' own columns; of rows that repeat a kept doc_id with one text all stay."""
-    kept = exact_duplicates(docs, digest_bits).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = exact_duplicates(docs, digest_bits).filter("kept").select(F.col("doc_id").alias("__quarry_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__quarry_id")), "left_semi")

@@ -238,15 +238,15 @@ def drop_repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, head: in
 
     A document that loses every word goes; n_chars, where docs has it, follows the text.
     """
-    spans = written(repeated_spans(docs, min_words, head), "spans").withColumnRenamed("doc_id", "_id")
+    spans = written(repeated_spans(docs, min_words, head), "spans").select(F.col("doc_id").alias("__quarry_id"), F.col("spans").alias("__quarry_spans"))
     small_batches(docs.sparkSession)
     names = docs.columns
-    joined = docs.join(spans, F.col("doc_id") == F.col("_id"), "left").drop("_id").withColumnRenamed("spans", "_spans")
+    joined = docs.join(spans, F.col("doc_id") == F.col("__quarry_id"), "left").drop("__quarry_id")
 
     def run(batches):
         for batch in batches:
             texts, keep = [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("__quarry_spans").to_pylist(), strict=True):
                 new = cut_out(text, [(s["start"], s["end"]) for s in found]) if found else text
                 texts.append(new)
                 keep.append(not found or bool(_WORDS.search(new)))
@@ -256,7 +256,7 @@ def drop_repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, head: in
                 if name == "text":
                     col = pa.array(texts, type=col.type)
                 elif name == "n_chars":
-                    col = pa.array([len(t) if s else n for t, s, n in zip(texts, batch.column("_spans").to_pylist(), col.to_pylist(), strict=True)], type=col.type)
+                    col = pa.array([len(t) if s else n for t, s, n in zip(texts, batch.column("__quarry_spans").to_pylist(), col.to_pylist(), strict=True)], type=col.type)
                 out.append(col)
             yield pa.RecordBatch.from_arrays(out, names=names).filter(pa.array(keep, type=pa.bool_()))
 
