@@ -24,7 +24,7 @@ from quarry.llm.common import new_path, small_batches, written
 
 ORDER = 4
 #: Characters in a chunk, about.
-CHUNK = 2_000_000
+CHUNK = 4_000_000
 #: A symbol has 12 bits: 0 before the start, 1 the end, then code points up to 3999, the rest in 94 classes.
 BITS, START, END, PLAIN, CLASSES = 12, 0, 1, 4000, 94
 #: A trusted document's language quantile above which documents go.
@@ -60,7 +60,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     small_batches(spark)
 
     def pack(group):
-        return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(group))
+        return zstandard.ZstdCompressor(level=9).compress(pickle.dumps(group))
 
     def run(batches):
         first = TaskContext.get().partitionId() << 24
@@ -179,10 +179,11 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     small_batches(spark, 2)
     counts = _train_counts(table, trusted.select("doc_id").filter("doc_id is not null").distinct())
     tables = count_tables(counts)
-    cells = written(_chunk_grams(table), "cells")
+    # read twice rather than kept: the n-grams of all chunks are as large as the texts
+    cells = _chunk_grams(table)
     codes = cells.groupBy("code").agg(F.count(F.lit(1)).alias("chunks")).select("code")
     logp = written(probabilities(codes, tables, 1 << BITS), "logp")
-    back = cells.join(logp, "code").groupBy("chunk").agg(F.collect_list(F.struct("code", "logp")).alias("known"))  # at most a chunk's own n-grams
+    back = cells.join(logp, "code").groupBy("chunk").agg(F.collect_list(F.struct("code", F.col("logp").cast("float").alias("logp"))).alias("known"))  # at most a chunk's own n-grams
 
     def run(batches):
         names = ["doc_id", "lang", "n_symbols", "perplexity"]
@@ -196,7 +197,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
                 have, p = code[one][order], value[one][order]
                 ids, langs, texts = _open(content)
                 found, n = grams(texts)
-                logs = p[np.searchsorted(have, found)]
+                logs = p[np.searchsorted(have, found)].astype(np.float64)
                 sums = np.add.reduceat(logs, np.concatenate([[0], np.cumsum(n)[:-1]]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(langs, type=pa.string()), pa.array(n - 1), pa.array(np.exp(-sums / n))], names=names)
 

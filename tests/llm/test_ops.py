@@ -286,7 +286,7 @@ def test_kneser_ney(spark, docs):
         return out
     text = other[2][1]
     logs = [np.log(p(c)) for c in ngram_lm.grams([text])[0].tolist()]
-    assert got[102].perplexity == pytest.approx(np.exp(-np.mean(logs)), rel=1e-9)
+    assert got[102].perplexity == pytest.approx(np.exp(-np.mean(logs)), rel=1e-6)
     assert ngram_lm.judge(frame.limit(0), known).count() == 0
     assert ngram_lm.judge(frame, known.limit(0)).filter("kept").count() == 32
 
