@@ -3,15 +3,17 @@
 The model predicts each character of a text, and its end, from the ``ORDER - 1``
 characters before.  It is trained on all trusted rows, whatever their number.
 Texts are packed into chunks once (compressed, bucketed by chunk so that later
-joins do not move them); a chunk's distinct n-grams are what joins the count
-tables, sharded by n-gram, order by order.  The joined probabilities go back to
-their chunk, where every whole document is scored.  A document is kept if its
-perplexity is not above a quantile of the trusted documents' in its language.
+joins do not move them).  A chunk's distinct n-grams, dealt into shards and kept
+sorted as compressed differences, are what joins the count tables.  A shard
+answers with the probabilities alone, in the same order; back at their chunk they
+meet the n-grams again, and every whole document is scored.  A document is kept if
+its perplexity is not above a quantile of the trusted documents' in its language.
 """
 
 from __future__ import annotations
 
 import pickle
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,10 @@ from quarry.llm.common import new_path, small_batches, written
 ORDER = 4
 #: Characters in a chunk, about.
 CHUNK = 4_000_000
+#: Shards of n-grams; with more partitions than that, chunks are salted, and each salt has a copy of the shards' tables.
+SHARDS, SHARD_PRIME = 256, 1_000_003
+#: Rows of an Arrow batch of n-grams, and n-grams gathered before they are made distinct.
+BATCH, GATHER = 4096, 1_000_000
 #: A symbol has 12 bits: 0 before the start, 1 the end, then code points up to 3999, the rest in 94 classes.
 BITS, START, END, PLAIN, CLASSES = 12, 0, 1, 4000, 94
 #: A trusted document's language quantile above which documents go.
@@ -54,65 +60,66 @@ def grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]
     return code[row[order - 1 :] != START].astype(np.int64), n
 
 
+def _pack(data: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
+
+
+def _unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """chunk, content (compressed doc_ids, langs and texts) of all rows, as a table bucketed by chunk in the shared folder."""
+    """chunk, ids (doc_ids), content (compressed langs and texts) of all rows, as a table bucketed by chunk in the shared folder."""
     spark = docs.sparkSession
     small_batches(spark)
 
-    def pack(group):
-        return zstandard.ZstdCompressor(level=9).compress(pickle.dumps(group))
-
     def run(batches):
         first = TaskContext.get().partitionId() << 24
         group: tuple[list, list, list] = ([], [], [])
         size = n = 0
+
+        def packed():
+            ids, *rest = group
+            columns = [pa.array([first + n]), pa.array([ids], type=pa.list_(pa.int64())), pa.array([_pack(pickle.dumps(rest), 9)], type=pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "content"])
+
         for b in batches:
             for row in zip(b.column("doc_id").to_pylist(), b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 for to, x in zip(group, (row[0], row[1] or "", row[2] or ""), strict=True):
                     to.append(x)
                 size += len(row[2] or "") + 1
                 if size >= CHUNK:
-                    yield pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([pack(group)], type=pa.binary())], names=["chunk", "content"])
+                    yield packed()
                     group, size, n = ([], [], []), 0, n + 1
         if group[0]:
-            yield pa.RecordBatch.from_arrays([pa.array([first + n]), pa.array([pack(group)], type=pa.binary())], names=["chunk", "content"])
+            yield packed()
 
     name = new_path(spark, "chunks")
     table = "quarry_" + name.rsplit("-", 1)[1]
-    packed = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "chunk long, content binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "chunk long, ids array<long>, content binary")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed.write.bucketBy(buckets, "chunk").option("path", name).saveAsTable(table)
+    rows.write.bucketBy(buckets, "chunk").option("path", name).saveAsTable(table)
     return spark.table(table)
 
 
-def _open(content: bytes) -> tuple[list, list, list]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(content))
-
-
-def _doc_ids(table: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            for chunk, content in zip(b.column("chunk").to_pylist(), b.column("content").to_pylist(), strict=True):
-                ids = _open(content)[0]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(ids), type=pa.int64()), pa.array(ids, type=pa.int64())], names=["chunk", "doc_id"])
-
-    return table.mapInArrow(run, "chunk long, doc_id long")
+def _open(content: bytes) -> tuple[list, list]:
+    return pickle.loads(_unpack(content))
 
 
 def _train_counts(table: DataFrame, trusted: DataFrame) -> DataFrame:
     """code, c: how often each n-gram stands in trusted rows."""
-    places = _doc_ids(table).join(trusted, "doc_id", "left_semi")
-    wanted = places.groupBy("chunk").agg(F.collect_list("doc_id").alias("ids"))  # at most a chunk's own rows
+    places = table.select("chunk", F.explode("ids").alias("doc_id")).join(trusted, "doc_id", "left_semi")
+    wanted = places.groupBy("chunk").agg(F.collect_list("doc_id").alias("wanted"))  # at most a chunk's own rows
 
     def run(batches):
         for b in batches:
-            for content, ids in zip(b.column("content").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                doc_ids, _, texts = _open(content)
-                want = set(ids)
+            for content, doc_ids, wanted_ids in zip(*(b.column(x).to_pylist() for x in ("content", "ids", "wanted")), strict=True):
+                _, texts = _open(content)
+                want = set(wanted_ids)
                 code, n = np.unique(grams([t for i, t in zip(doc_ids, texts, strict=True) if i in want])[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], names=["code", "c"])
 
-    return table.join(wanted, "chunk").select("content", "ids").mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    return table.join(wanted, "chunk").select("content", "ids", "wanted").mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -158,14 +165,80 @@ def probabilities(codes: DataFrame, tables: list[tuple[DataFrame, DataFrame]], v
     return now.select("code", F.log("p").alias("logp"))
 
 
-def _chunk_grams(table: DataFrame) -> DataFrame:
+def _by_shard(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted distinct codes by shard, and where each shard starts and ends in it."""
+    shard = code % SHARD_PRIME % SHARDS
+    return np.argsort(shard, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=SHARDS))])
+
+
+def _cells(table: DataFrame) -> DataFrame:
+    """chunk, shard, codes (the compressed differences of its sorted distinct n-grams)."""
+
     def run(batches):
         for b in batches:
             for chunk, content in zip(b.column("chunk").to_pylist(), b.column("content").to_pylist(), strict=True):
-                code = np.unique(grams(_open(content)[2])[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), chunk)), pa.array(code)], names=["chunk", "code"])
+                code = np.unique(grams(_open(content)[1])[0])
+                order, ends = _by_shard(code)
+                code = code[order]
+                full = np.flatnonzero(np.diff(ends))
+                blobs = [_pack(np.diff(code[ends[k] : ends[k + 1]], prepend=0).tobytes()) for k in full]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), chunk)), pa.array(full.astype(np.int32)), pa.array(blobs, type=pa.binary())], names=["chunk", "shard", "codes"])
+
+    return table.select("chunk", "content").mapInArrow(run, "chunk long, shard int, codes binary")
+
 
-    return table.mapInArrow(run, "chunk long, code long")
+def _codes(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(_unpack(blob), dtype=np.int64))
+
+
+def _distinct(cells: DataFrame) -> DataFrame:
+    """code: all n-grams of the cells, once each."""
+
+    def run(batches):
+        parts, size = [], 0
+        for b in batches:
+            parts += [_codes(x) for x in b.column("codes").to_pylist()]
+            size = sum(map(len, parts))
+            if size >= GATHER:
+                parts = [np.unique(np.concatenate(parts))]
+                if len(parts[0]) >= GATHER // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(parts[0])], names=["code"])
+                    parts = []
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(parts)))], names=["code"])
+
+    return cells.select("codes").mapInArrow(run, "code long").distinct()
+
+
+def _look_up(cells: DataFrame, logp: DataFrame) -> DataFrame:
+    """chunk, shard, logs: for each cell the log probabilities of its codes, in their order, as compressed 32-bit floats."""
+    partitions = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, partitions // SHARDS)
+    shard = ((F.col("code") % SHARD_PRIME) % SHARDS).cast("int").alias("shard")
+    model = logp.select(shard, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("chunk"), "code", F.col("logp").cast("float").alias("logp"), F.lit(None).cast("binary").alias("codes"))
+    asked = cells.select("shard", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "chunk", F.lit(0).cast("long").alias("code"), F.lit(0).cast("float").alias("logp"), "codes")
+
+    def run(batches):
+        now, have, logs = None, [], []
+        for b in batches:
+            shard, salt, kind, chunk, code, value = (b.column(x).to_numpy() for x in ("shard", "salt", "kind", "chunk", "code", "logp"))
+            group = salt.astype(np.int64) * SHARDS + shard
+            cuts = [0, *(np.flatnonzero(np.diff(group * 2 + kind)) + 1).tolist(), b.num_rows]
+            for a, z in pairwise(cuts):
+                if a == z:
+                    continue
+                if group[a] != now:
+                    now, have, logs = group[a], [], []
+                if not kind[a]:
+                    have.append(code[a:z])
+                    logs.append(value[a:z])
+                    continue
+                have, logs = [np.concatenate(have)], [np.concatenate(logs)]
+                out = [_pack(logs[0][np.searchsorted(have[0], _codes(x))].tobytes()) for x in b.column("codes").slice(a, z - a).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(chunk[a:z]), pa.array(shard[a:z]), pa.array(out, type=pa.binary())], names=["chunk", "shard", "logs"])
+
+    dealt = model.unionByName(asked).repartition(partitions, "shard", "salt").sortWithinPartitions("shard", "salt", "kind", "code")
+    return dealt.mapInArrow(run, "chunk long, shard int, logs binary")
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -179,29 +252,26 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     small_batches(spark, 2)
     counts = _train_counts(table, trusted.select("doc_id").filter("doc_id is not null").distinct())
     tables = count_tables(counts)
-    # read twice rather than kept: the n-grams of all chunks are as large as the texts
-    cells = _chunk_grams(table)
-    codes = cells.groupBy("code").agg(F.count(F.lit(1)).alias("chunks")).select("code")
-    logp = written(probabilities(codes, tables, 1 << BITS), "logp")
-    back = cells.join(logp, "code").groupBy("chunk").agg(F.collect_list(F.struct("code", F.col("logp").cast("float").alias("logp"))).alias("known"))  # at most a chunk's own n-grams
+    cells = written(_cells(table), "cells")
+    small_batches(spark, BATCH)
+    logp = written(probabilities(_distinct(cells), tables, 1 << BITS), "logp")
+    answers = written(_look_up(cells, logp), "answers")
+    small_batches(spark, 2)
+    back = answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "logs")).alias("answers"))  # at most a chunk's own n-grams
 
     def run(batches):
         names = ["doc_id", "lang", "n_symbols", "perplexity"]
         for b in batches:
-            known = b.column("known")
-            ends = known.offsets.to_numpy()
-            code, value = (known.values.field(x).to_numpy() for x in ("code", "logp"))
-            for k, content in enumerate(b.column("content").to_pylist()):
-                one = slice(int(ends[k]), int(ends[k + 1]))
-                order = np.argsort(code[one])
-                have, p = code[one][order], value[one][order]
-                ids, langs, texts = _open(content)
-                found, n = grams(texts)
-                logs = p[np.searchsorted(have, found)].astype(np.float64)
-                sums = np.add.reduceat(logs, np.concatenate([[0], np.cumsum(n)[:-1]]))
+            for ids, content, found in zip(*(b.column(x).to_pylist() for x in ("ids", "content", "answers")), strict=True):
+                langs, texts = _open(content)
+                code, n = grams(texts)
+                code, place = np.unique(code, return_inverse=True)
+                logs = np.empty(len(code))
+                logs[_by_shard(code)[0]] = np.concatenate([np.frombuffer(_unpack(x["logs"]), dtype=np.float32) for x in sorted(found, key=lambda x: x["shard"])])
+                sums = np.add.reduceat(logs[place], np.concatenate([[0], np.cumsum(n)[:-1]]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(langs, type=pa.string()), pa.array(n - 1), pa.array(np.exp(-sums / n))], names=names)
 
-    return table.join(back, "chunk").select("content", "known").mapInArrow(run, "doc_id long, lang string, n_symbols long, perplexity double")
+    return table.join(back, "chunk").select("ids", "content", "answers").mapInArrow(run, "doc_id long, lang string, n_symbols long, perplexity double")
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
