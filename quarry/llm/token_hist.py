@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import token_counts
+from quarry.llm.common import written
 
 #: Lengths in a block.
 BLOCK = 512
@@ -85,4 +86,5 @@ def quantile(table: DataFrame, q: float) -> DataFrame:
 
 
 def token_report(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return suffix_sums(length_histogram(docs, "lang", path))
+    """suffix_sums() of the histogram by lang, which is written first: its two levels read it twice, and texts are encoded once."""
+    return suffix_sums(written(length_histogram(docs, "lang", path), "lengths"))
