@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Row
 from pyspark.sql import functions as F
 
 from quarry.functions.registry import Arg, order_key
 from quarry.plans.query import QueryError
-from quarry.sources.database import untag  # noqa: F401  (for callers that collect tagged results)
+from quarry.sources.database import untag
 
 PLAIN = ("count", "count-distinct", "distinct", "sum", "avg", "median", "variance", "stddev", "min", "max", "rand")
 AMOUNT = ("min", "max", "rand", "sample")
 
 
+def over_list(f, returns: str):
+    """A callable for ``(aggregate ?f args... ?x)`` from a Python function of the arguments and the list of a group's values.
+
+    The values come in no defined order, repeats included.  One list is held by one worker, so an aggregate that
+    can be written as Columns (pass a function of Columns instead) is the one for large groups.
+    """
+
+    def column(*args):
+        *extra, values = args
+        run = F.udf(lambda xs: f(*extra, [untag(x) if isinstance(x, Row) and "rank" in x.__fields__ else x for x in xs]), returns)
+        return run(F.collect_list(values))
+
+    return column
+
+
 def _number(a: Arg) -> Column:
     if a.kind in ("long", "entity", "double"):
         return a.col

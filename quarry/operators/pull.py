@@ -107,8 +107,9 @@ def _option(s: Selector, k, v) -> Selector:
 class _Facts:
     """Facts of entities, read attribute by attribute for a whole level at once and kept."""
 
-    def __init__(self, db: Database):
+    def __init__(self, db: Database, visitor=None):
         self.db = db
+        self.visit = visitor or (lambda *event: None)
         self.forward: dict[int, dict[str, list]] = {}
         self.backward: dict[tuple[str, int], list[int]] = {}
 
@@ -132,16 +133,19 @@ class _Facts:
         return self.backward[attr, e]
 
 
-def pull(db: Database, pattern, ref):
-    """The document of one entity; None if it names none or nothing is found."""
-    found = pull_many(db, pattern, [ref])
+def pull(db: Database, pattern, ref, visitor=None):
+    """The document of one entity; None if it names none or nothing is found.
+
+    visitor is called with each read: ("attr", e, a), ("wildcard", e) or ("reverse", a, e).
+    """
+    found = pull_many(db, pattern, [ref], visitor)
     return found[0]
 
 
-def pull_many(db: Database, pattern, refs: list) -> list:
+def pull_many(db: Database, pattern, refs: list, visitor=None) -> list:
     """A document (or None) for each ref, in order."""
     spec = parse_pattern(pattern)
-    facts = _Facts(db)
+    facts = _Facts(db, visitor)
     ids = [db.entid(r) for r in refs]
     facts.load([i for i in ids if i is not None])
     return [_document(facts, spec, i, {}, frozenset()) if i is not None else None for i in ids]
@@ -159,14 +163,17 @@ def _document(facts: _Facts, spec: list[Selector], e: int, depths: dict, seen: f
                 out[s.key] = s.xform(e) if s.xform else e
             continue
         if s.attr == "*":
+            facts.visit("wildcard", e)
             for a in own:
                 if a not in named:
+                    facts.visit("attr", e, a)
                     v = _value(facts, Selector(a, a, key=Keyword(a)), e, spec, depths, seen, expand=db.schema.get(a, Attr()).component)
                     if v is not None:
                         out[Keyword(a)] = v
             if own:
                 out[Keyword(":db/id")] = e
             continue
+        facts.visit(*(("reverse", s.name, e) if s.reverse else ("attr", e, s.name)))
         v = _value(facts, s, e, spec, depths, seen, expand=False)
         if v is None and ":default" in s.options:
             v = s.default

@@ -2,6 +2,7 @@ import pytest
 
 from quarry.api import plan, q
 from quarry.operators import index
+from quarry.operators.aggregates import over_list
 from quarry.operators.pull import pull, pull_frame
 from quarry.plans.query import InsufficientBindings, QueryError, parse
 from quarry.sources.database import Database, SchemaError, schema_of
@@ -57,6 +58,15 @@ def test_callables_and_two_sources(spark, db):
     assert q("[:find [?n ...] :in $ $b :where [$b ?x :age ?a] [?e :age ?a] [?e :name ?n]]", db, other) == ["Ivan"]
 
 
+def test_aggregate_over_a_list(spark, db):
+    spread = over_list(lambda k, xs: k * (max(xs) - min(xs)), "long")
+    assert q("[:find (aggregate ?f 10 ?a) (count ?e) :in $ ?f :where [?e :age ?a]]", db, spread) == [(330, 3)]
+    join = over_list(lambda xs: "-".join(sorted(map(str, xs))), "string")
+    assert q("[:find ?e (aggregate ?f ?n) :in $ ?f :where [?e :name _] [?e :aka ?n]]", db, join) == [(1, "x-y")]
+    mixed = Database.of_datoms(spark, [(1, ":v", "a"), (2, ":v", 3)])
+    assert q("[:find (aggregate ?f ?v) . :in $ ?f :where [?e :v ?v]]", mixed, join) == "3-a"
+
+
 def test_relation_source(db):
     assert q("[:find ?n ?w :in $ $r :where [?e :name ?n] [$r ?n ?w]]", db, [("Ivan", 3), ("Q", 4)]) == [("Ivan", 3)]
 
@@ -89,6 +99,12 @@ def test_pull(db):
     assert rows[1].name == "Petr" and rows[1]["_friend"][0].name == "Oleg" and rows[1].aka == ["x", "y"]
 
 
+def test_pull_visitor(db):
+    seen = []
+    pull(db, "[* :name {:_friend [:db/id]}]", 2, lambda *event: seen.append(event))
+    assert {("wildcard", 2), ("attr", 2, ":name"), ("attr", 2, ":age"), ("reverse", ":friend", 2)} <= set(seen)
+
+
 def test_index(db):
     assert [r.v for r in index.datoms(db, ":aevt", ":name").collect()] == ["Petr", "Ivan", "Oleg"]
     with pytest.raises(SchemaError):
