@@ -35,7 +35,7 @@ DATALOG: dict[str, tuple[str, str, str, tuple]] = {
     "equality_predicates": ("orders", '[:find ?k :keys orderkey :where [?o :orders/orderkey ?k] [?o :orders/orderstatus ?s] [?o :orders/orderpriority ?p] [(not= ?s "O")] [(= ?p ?p "1-URGENT")]]', "SELECT DISTINCT o_orderkey AS orderkey FROM orders WHERE o_orderstatus <> 'O' AND o_orderpriority = '1-URGENT'", ()),
     "type_predicates": ("customer", "[:find ?k :keys custkey :where [?c :customer/custkey ?k] [?c :customer/name ?n] [?c :customer/acctbal ?b] [(string? ?n)] [(number? ?b)] [(integer? ?k)] [(even? ?k)] [(neg? ?b)]]", "SELECT DISTINCT c_custkey AS custkey FROM customer WHERE c_custkey % 2 = 0 AND c_acctbal < 0", ()),
     "boolean_predicates": ("part", "[:find ?k :keys partkey :where [?p :part/partkey ?k] [?p :part/size ?s] [(> ?s 25) ?big] [(odd? ?k) ?odd] [(and ?big ?odd) ?both] [(true? ?both)]]", "SELECT DISTINCT p_partkey AS partkey FROM part WHERE p_size > 25 AND p_partkey % 2 <> 0", ()),
-    "string_predicates": ("part", '[:find ?n :keys name :where [?p :part/name ?n] [?p :part/type ?t] [(clojure.string/includes? ?t "E")] [(clojure.string/starts-with? ?n "p")] [(clojure.string/ends-with? ?n "1")]]', "SELECT DISTINCT p_name AS name FROM part WHERE contains(p_type, 'E') AND starts_with(p_name, 'p') AND ends_with(p_name, '1')", ()),
+    "string_predicates": ("part", '[:find ?n :keys name :where [?p :part/name ?n] [?p :part/type ?t] [(clojure.string/includes? ?t "E")] [(clojure.string/starts-with? ?n "s")] [(clojure.string/ends-with? ?n "g")]]', "SELECT DISTINCT p_name AS name FROM part WHERE contains(p_type, 'E') AND starts_with(p_name, 's') AND ends_with(p_name, 'g')", ()),
     "arithmetic": ("part", "[:find ?k ?q ?r ?m ?i ?d :keys partkey quot rem modulo inc half :where [?p :part/partkey ?k] [?p :part/size ?s] [(quot ?k 7) ?q] [(- ?s 25) ?x] [(rem ?x 7) ?r] [(mod ?x 7) ?m] [(inc ?s) ?i] [(/ ?s 2) ?d]]", "SELECT DISTINCT p_partkey AS partkey, p_partkey // 7 AS quot, (p_size - 25)::BIGINT % 7 AS rem, (((p_size - 25)::BIGINT % 7) + 7) % 7 AS modulo, p_size::BIGINT + 1 AS inc, p_size / 2.0::DOUBLE AS half FROM part", ()),
     "string_functions": ("nation", '[:find ?u ?c ?r ?i ?s ?j :keys up cap rev at sub joined :where [?n :nation/name ?x] [(upper-case ?x) ?u] [(clojure.string/capitalize ?x) ?c] [(clojure.string/reverse ?x) ?r] [(clojure.string/index-of ?x "A") ?i] [(subs ?x 0 3) ?s] [(str ?x "-" ?i) ?j]]', "SELECT DISTINCT upper(n_name) AS up, upper(n_name[1]) || lower(n_name[2:]) AS cap, reverse(n_name) AS rev, (strpos(n_name, 'A') - 1)::BIGINT AS at, substr(n_name, 1, 3) AS sub, n_name || '-' || (strpos(n_name, 'A') - 1) AS joined FROM nation WHERE strpos(n_name, 'A') > 0", ()),
     "regex_functions": ("pages", '[:find ?k ?h ?n :keys page_id host slashes :where [?p :pages/page_id ?k] [?p :pages/url ?u] [(re-find #"//[^/]+" ?u) ?x] [(subs ?x 2) ?h] [(clojure.string/replace ?u #"[^/]" "") ?s] [(count ?s) ?n]]', "SELECT DISTINCT page_id, substr(regexp_extract(url, '//[^/]+'), 3) AS host, length(regexp_replace(url, '[^/]', '', 'g')) AS slashes FROM pages WHERE regexp_matches(url, '//[^/]+')", ()),
@@ -48,7 +48,7 @@ DATALOG: dict[str, tuple[str, str, str, tuple]] = {
     "or_clause": ("orders", '[:find ?k :keys orderkey :where [?o :orders/orderkey ?k] (or [?o :orders/orderstatus "P"] (and [?o :orders/orderstatus "F"] [?o :orders/orderpriority "5-LOW"]))]', "SELECT DISTINCT o_orderkey AS orderkey FROM orders WHERE o_orderstatus = 'P' OR (o_orderstatus = 'F' AND o_orderpriority = '5-LOW')", ()),
     "or_join": ("customer supplier nation", "[:find ?n :keys name :where [?x :nation/nationkey ?k] [?x :nation/name ?n] (or-join [?k] (and [?c :customer/nationkey ?k] [?c :customer/acctbal ?b] [(> ?b 9900)]) (and [?s :supplier/nationkey ?k] [?s :supplier/acctbal ?b] [(> ?b 9500)]))]", "SELECT DISTINCT n_name AS name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 9500)", ()),
     "inputs_collection": ("nation", None, "SELECT DISTINCT n_name AS name, n_regionkey::BIGINT AS regionkey FROM nation WHERE n_regionkey IN (1, 3)", ()),
-    "inputs_relation_and_scalar": ("part", None, "SELECT DISTINCT p_partkey AS partkey, f.v::BIGINT AS factor FROM part JOIN (VALUES (10, 2), (20, 3)) f(s, v) ON p_size = f.s WHERE p_retailprice > 1000", ()),
+    "inputs_relation_and_scalar": ("part", None, "SELECT DISTINCT p_partkey AS partkey, f.v::BIGINT AS factor FROM part JOIN (VALUES (10, 2), (20, 3)) f(s, v) ON p_size = f.s WHERE p_retailprice > 905", ()),
     "rule_plain": ("nation region", "[:find ?n :keys name :rules [(in-region ?e ?r) [?e :nation/regionkey ?k] [?g :region/regionkey ?k] [?g :region/name ?r]] :where (in-region ?e \"ASIA\") [?e :nation/name ?n]]", "SELECT DISTINCT n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'", ()),
     "rule_recursive": ("region", "[:find ?a ?b :keys a b :rules [(next ?x ?y) [?n :region/regionkey ?x] [?m :region/regionkey ?y] [(inc ?x) ?y]] [(reach ?x ?y) (next ?x ?y)] [(reach ?x ?y) (next ?x ?z) (reach ?z ?y)] :where (reach ?a ?b)]", "SELECT a.r_regionkey::BIGINT AS a, b.r_regionkey::BIGINT AS b FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey", ()),
     "aggregates_counts": ("orders", "[:find ?s (count ?o) (count-distinct ?c) (min ?t) (max ?t) :keys status n customers lowest highest :where [?o :orders/orderstatus ?s] [?o :orders/custkey ?c] [?o :orders/totalprice ?t]]", "SELECT o_orderstatus AS status, count(*) AS n, count(DISTINCT o_custkey) AS customers, min(o_totalprice) AS lowest, max(o_totalprice) AS highest FROM orders GROUP BY 1", ()),
@@ -97,7 +97,7 @@ def _inputs_collection(spark, sf_dir):
 
 
 def _inputs_relation(spark, sf_dir):
-    return plan("[:find ?k ?f :keys partkey factor :in $ [[?s ?f]] ?floor :where [?p :part/size ?s] [?p :part/partkey ?k] [?p :part/retailprice ?r] [(> ?r ?floor)]]", warehouse(spark, sf_dir, ("part",)), [[10, 2], [20, 3]], 1000)
+    return plan("[:find ?k ?f :keys partkey factor :in $ [[?s ?f]] ?floor :where [?p :part/size ?s] [?p :part/partkey ?k] [?p :part/retailprice ?r] [(> ?r ?floor)]]", warehouse(spark, sf_dir, ("part",)), [[10, 2], [20, 3]], 905)
 
 
 def _missing(spark, sf_dir):
@@ -150,7 +150,7 @@ def _pull_reverse(spark, sf_dir):
 
 def _index_range(spark, sf_dir):
     db = warehouse(spark, sf_dir, ("part",))
-    return index.index_range(db, ":part/retailprice", 1000.0, 1200.0).select((F.col("e") - F.lit(1 << KEY_BITS)).alias("partkey"), F.col("v").alias("price"))
+    return index.index_range(db, ":part/retailprice", 910.0, 915.0).select((F.col("e") - F.lit(1 << KEY_BITS)).alias("partkey"), F.col("v").alias("price"))
 
 
 def _datoms_scan(spark, sf_dir):
@@ -179,7 +179,7 @@ _SPECIAL = {
 _FRAMES = {
     "pull_nested": (_pull_nested, "SELECT c_custkey AS custkey, c_acctbal AS balance, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey"),
     "pull_reverse": (_pull_reverse, "SELECT n_name AS name, count(s_suppkey) AS n_suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1"),
-    "index_range": (_index_range, "SELECT p_partkey AS partkey, p_retailprice AS price FROM part WHERE p_retailprice BETWEEN 1000 AND 1200"),
+    "index_range": (_index_range, "SELECT p_partkey AS partkey, p_retailprice AS price FROM part WHERE p_retailprice BETWEEN 910 AND 915"),
     "datoms_scan": (_datoms_scan, "SELECT n_nationkey::BIGINT AS nationkey, n_name AS name FROM nation"),
     "db_diff": (_diff, "SELECT coalesce(a.k, b.k) AS e, coalesce(a.s, b.s) AS v, CASE WHEN b.k IS NULL THEN 'left' WHEN a.k IS NULL THEN 'right' ELSE 'both' END AS side FROM (SELECT o_orderkey k, o_orderstatus s FROM orders) a FULL JOIN (SELECT o_orderkey k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END s FROM orders WHERE o_orderkey % 3 <> 0) b ON a.k = b.k AND a.s = b.s"),
     "filtered_database": (_filtered, "SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_totalprice > 150000 GROUP BY 1"),
