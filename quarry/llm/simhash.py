@@ -171,16 +171,22 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
 
     component_id is the smallest doc_id reachable over links of at most ``radius`` differing bits, the
     document itself included.  Rows that repeat a doc_id keep their own fingerprints; null and empty
-    texts have fingerprint 0 and link like others; an empty table gives no rows.
+    texts have fingerprint 0 and link like others; an empty table gives no rows.  Rows without doc_id have
+    a fingerprint, but link nothing: their component_id is null.
     """
     prints = written(fingerprints(docs, width), "prints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    nodes = written(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     found = connected_components(links(nodes, nodes.count(), radius, tile))
     classes = nodes.join(found, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "node", "component_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
+    return prints.join(classes, "fp", "left").select("doc_id", "fp", "node", component)
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """Of every component the row with the smallest doc_id stays (its first row, should that id repeat); all columns of docs are returned as they are."""
-    kept = near_duplicates(docs, **how).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of every component the smallest doc_id stays; all columns of docs are returned as they are.
+
+    Rows that repeat a doc_id stay if any of them represents its component, and rows without doc_id stay.
+    """
+    found = near_duplicates(docs, **how).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = found.filter("not stays").select(F.col("doc_id").alias("__quarry_id"))
+    return docs.join(gone, F.col("doc_id") == F.col("__quarry_id"), "left_anti")

@@ -101,6 +101,21 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_without_ids(spark):
+    """Linked texts that only rows without doc_id have, one that shares its text with an id, a lone one, and an id that repeats."""
+    rng = random.Random(9)
+    w = words(rng, 400).split()
+    a, b, c, d = " ".join(w), " ".join([*w[:-1], "zz"]), words(rng, 300), words(rng, 300)
+    assert 0 < (brute_print(a) ^ brute_print(b)).bit_count() <= 3
+    got = [(None, a), (None, b), (None, c), (4, c), (5, c), (7, d), (7, c)]
+    frame = spark.createDataFrame(got, "doc_id long, text string")
+    found = simhash.near_duplicates(frame).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found if r.doc_id is not None) == [(4, 4), (5, 4), (7, 4), (7, 7)]
+    assert [r.component_id for r in found if r.doc_id is None] == [None] * 3 and {r.fp & (2**64 - 1) for r in found} == {brute_print(t) for _, t in got}
+    kept = collections.Counter(tuple(r) for r in simhash.drop_near_duplicates(frame).collect())
+    assert kept == collections.Counter(x for x in got if x[0] != 5)
+
+
 @pytest.mark.parametrize("tile", [8, 1024])
 def test_links_in_hot_blocks(spark, tile):
     rng = np.random.default_rng(3)
