@@ -1,11 +1,11 @@
 """License scan with a positional index of rare tokens.
 
 Licence templates are indexed by their words: a posting is (template, position).
-Of the words that a file shares with the templates, the ones with the highest
-inverse document frequency in the corpus are looked up first; a template whose
-postings meet the file's at one relative position is a candidate there, and its
-mandatory key phrases are verified word by word at that alignment.  Everything
-is DataFrame and SQL functions.  Only words of the templates' vocabulary (a few
+Each template is filed under the word of its key phrases with the highest
+inverse document frequency in the corpus; every place of such a word in a file
+makes the template a candidate at that alignment, and since key phrases are
+mandatory no other alignment can hold it.  All key phrases are then verified
+word by word there.  Everything is DataFrame and SQL functions.  Only words of the templates' vocabulary (a few
 hundred) leave the scan of a text, so what is shuffled is small beside it.
 """
 
@@ -24,8 +24,6 @@ BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Phrases whose every place counts, and their labels (fixed values).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Licence words of a file that are looked up: those with the highest idf.
-RAREST = 12
 #: Share of a template's idf that must meet at one alignment.
 MATCHED = 0.6
 
@@ -87,7 +85,7 @@ def postings(spark, templates=TEMPLATES) -> DataFrame:
     return spark.createDataFrame(rows, "template int, label string, word string, tpos int, phrase int, n_template int, n_key int")
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, rarest: int = RAREST, matched: float = MATCHED) -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, matched: float = MATCHED) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places of every row of docs (doc_id, text).
 
     Base: every place where the words of a phrase stand one after another; labels of the base stay whatever
@@ -125,11 +123,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, rarest: int = RAREST, matched: fl
     whole = index.groupBy("template").agg(F.sum("idf").alias("whole"))
     index = written(index.join(whole, "template"), "index")  # as many rows as the templates have words
 
-    # the rarest licence words of each file: an array bounded by the vocabulary
-    distinct = found.select("row", "word").distinct().join(F.broadcast(idf), "word")
-    rare = distinct.groupBy("row").agg(F.sort_array(F.collect_list(F.struct((-F.col("idf")).alias("by"), "word"))).alias("ws")).select("row", F.explode(F.slice("ws", 1, rarest)).alias("x")).select("row", "x.word")
-    looked = found.join(rare, ["row", "word"], "left_semi").join(F.broadcast(index.select("word", "template", "tpos")), "word")
-    candidates = looked.select("row", "template", (F.col("pos") - F.col("tpos")).alias("start")).distinct()
+    # each template under the rarest word of its key phrases, at one place of it: a row a template
+    filed = index.filter("phrase >= 0").groupBy("template").agg(F.max(F.struct("idf", "word", "tpos")).alias("f")).select("template", "f.word", "f.tpos")
+    candidates = found.join(F.broadcast(filed), "word").select("row", "template", (F.col("pos") - F.col("tpos")).alias("start"))
     # all postings of a candidate's template against the file's words at that alignment
     met = found.join(F.broadcast(index), "word").withColumn("start", F.col("pos") - F.col("tpos")).join(candidates, ["row", "template", "start"], "left_semi")
     met = met.groupBy("row", "template", "label", "start", "whole", "n_key").agg(F.sum("idf").alias("got"), F.sum((F.col("phrase") >= 0).cast("int")).alias("key_met"))

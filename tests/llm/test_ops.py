@@ -321,6 +321,19 @@ def test_licenses(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_every_licence_of_a_file(spark):
+    notice = {t.label: t.text for t in license_scan.TEMPLATES}  # of several, the last
+    mit = next(t.text for t in license_scan.TEMPLATES if t.text.startswith("permission"))
+    prose = "the person may copy files free of charge under these conditions and the foundation met the following source forms in use "
+    pairs = [(mit, notice["apache-2.0"]), (mit, notice["gpl-3.0"]), (mit, "licensed under cc by nc 4 0"), (notice["bsd"], "released under the mit license")]
+    labels = [{"mit", "apache-2.0"}, {"mit", "gpl-3.0"}, {"mit", "cc-by-nc-4.0"}, {"bsd", "mit"}]
+    # short lines make the words of the second licences the common ones
+    common = [b for _, b in pairs for _ in range(20)]
+    texts = [f"{a}. {prose}{b}" for a, b in pairs] + common
+    got = {r.doc_id: set(r.labels.split(",")) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(want <= got[k] for k, want in enumerate(labels))
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
