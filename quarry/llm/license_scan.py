@@ -106,7 +106,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, matched: float = MATCHED) -> Data
             every = every & F.contains("low", F.lit(w))
         may = may | every
     places = F.filter(F.transform("words", lambda w, k: F.struct(w.alias("word"), k.alias("pos"))), lambda x: x["word"].isin(vocabulary))
-    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(may, places).alias("places"))
+    known = F.array_intersect("words", F.array(*map(F.lit, vocabulary)))  # distinct, of every row
+    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), known.alias("known"), F.when(may, places).alias("places"))
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "places")
     found = rows.filter("size(places) > 0").select("row", F.explode("places").alias("p")).select("row", "p.word", "p.pos")
 
@@ -115,9 +116,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, matched: float = MATCHED) -> Data
     stands = found.join(F.broadcast(base), "word").groupBy("row", "base", "base_label", "n", (F.col("pos") - F.col("k")).alias("start")).agg(F.count(F.lit(1)).alias("met")).filter("met = n")
     based = stands.groupBy("row").agg(F.count(F.lit(1)).alias("n_base"), F.min("start").cast("long").alias("first_word"), F.max("start").cast("long").alias("last_word"), F.collect_set("base_label").alias("base_set"))
 
-    # idf over all documents; a row a word of the vocabulary
+    # idf over all documents, walked or not; a row a word of the vocabulary
     total = rows.count()
-    idf = found.select("row", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log((F.lit(float(total)) + 1) / (F.col("df") + 1)) + 1).select("word", "idf")
+    idf = rows.select(F.explode("known").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log((F.lit(float(total)) + 1) / (F.col("df") + 1)) + 1).select("word", "idf")
     idf = written(idf, "idf")
     index = postings(spark, templates).join(F.broadcast(idf), "word", "left").fillna({"idf": 1.0})
     whole = index.groupBy("template").agg(F.sum("idf").alias("whole"))

@@ -334,6 +334,19 @@ def test_every_licence_of_a_file(spark):
     assert all(want <= got[k] for k, want in enumerate(labels))
 
 
+def test_idf_counts_every_document(spark):
+    # the words before the key phrase stand in most documents, few of which may hold a licence at all
+    plain = ["it is under the terms of the house"] * 60 + ["license in general"] * 2
+    texts = ["see the GNU lesser general public license for more", "words before that key phrase: a GNU lesser general public license", *plain]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    words = {i: set(license_scan.words_of(t)) for i, t in enumerate(texts)}
+    idf = lambda w: np.log((len(texts) + 1) / (sum(w in x for x in words.values()) + 1)) + 1
+    whole = "under the terms of the gnu lesser general public license".split()
+    share = sum(map(idf, whole[5:])) / sum(map(idf, whole))
+    assert share > license_scan.MATCHED and "lgpl" in got[1].labels.split(",")
+    assert [p.score for p in got[1].license_places] == [pytest.approx(share)]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
