@@ -11,9 +11,11 @@ equality with a neighbour counts.  A match is then extended to the left and the
 right.  Members whose whole surroundings agree (all words that any passage of
 ``MIN_WORDS`` round the head can reach) are one class, and all but the first
 repeat it.  Between the firsts of different classes the extension goes word by
-word: every window of ``MIN_WORDS`` round the head is compared by a 128-bit
-digest.  The result is exact: a word is marked if and only if it lies in a
-window of ``MIN_WORDS`` words that also stands earlier (by doc_id, then place).
+word: every window of ``MIN_WORDS`` whose least head this is, is compared by a
+128-bit digest, and what a first learns is passed on to its class by offset.
+The result is exact: a word is marked if and only if it lies in a window of
+``MIN_WORDS`` words that also stands earlier (by doc_id, then place), and the
+source of a window is the earliest document that holds it.
 """
 
 from __future__ import annotations
@@ -140,26 +142,47 @@ def suffixes(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD) -> D
 
 
 def _windows(docs: DataFrame, firsts: DataFrame, min_words: int, head: int) -> DataFrame:
-    """a, b (128 bits), doc_id, start of each window of ``min_words`` round the suffixes in firsts (doc_id, pos)."""
+    """a, b (128 bits), doc_id, start, pos, around, several of each window of ``min_words`` in which a suffix of firsts (doc_id, pos, around, several) has the least head.
+
+    around: 64 bits of the surroundings, which tell texts apart that share a doc_id.
+    """
     reach = min_words - head
-    wanted = firsts.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))  # at most a document's own suffixes
+    wanted = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "around", "several")).alias("places"))  # at most a document's own suffixes
     rows = docs.select("doc_id", "text").join(wanted, "doc_id")
     small_batches(docs.sparkSession)
+    names = ["a", "b", "doc_id", "start", "pos", "around", "several"]
 
     def run(batches):
         for batch in batches:
             ids, parts = [], []
-            for doc_id, text, places in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("places").to_pylist(), strict=True):
+            lists = batch.column("places")
+            ends = lists.offsets.to_numpy()
+            all_pos, all_around, all_several = (lists.values.field(x).to_numpy(zero_copy_only=False) for x in ("pos", "around", "several"))
+            for k, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True)):
                 words = Words(text)
-                start = np.unique((np.array(places)[:, None] - np.arange(reach + 1)[None, :]).ravel())
-                start = start[(start >= 0) & (start + min_words <= words.n)]
+                one = slice(int(ends[k]), int(ends[k + 1]))
+                pos, around, several = all_pos[one].astype(np.int64), all_around[one], all_several[one]
+                here = pos + head <= words.n
+                pos, around, several = pos[here], around[here], several[here]
+                same = words.digest(0, np.maximum(pos - reach, 0), np.minimum(pos + min_words, words.n)).view(np.int64) == around
+                pos, around, several = pos[same], around[same], several[same]
+                if words.n < min_words or not len(pos):
+                    continue
+                at = np.arange(words.n - head + 1)
+                key = words.digest(0, at, at + head)
+                least = _slide(key, reach + 1, np.minimum)
+                start = pos[:, None] - np.arange(reach + 1)[None, :]
+                inside = (start >= 0) & (start < len(least))
+                own = inside & (least[np.where(inside, start, 0)] == key[pos][:, None])
+                which = np.nonzero(own)[0]
+                start = start[own]
                 ids.append(np.full(len(start), doc_id, dtype=np.int64))
-                parts.append((words.digest(0, start, start + min_words).view(np.int64), words.digest(1, start, start + min_words).view(np.int64), start))
+                parts.append((words.digest(0, start, start + min_words).view(np.int64), words.digest(1, start, start + min_words).view(np.int64), start, pos[which], around[which], several[which]))
             if parts:
-                a, b, start = (np.concatenate(c) for c in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.concatenate(ids)), pa.array(start).cast(pa.int32())], names=["a", "b", "doc_id", "start"])
+                a, b, start, pos, around, several = (np.concatenate(c) for c in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.concatenate(ids)), pa.array(start).cast(pa.int32()), pa.array(pos).cast(pa.int32()), pa.array(around), pa.array(several)], names=names)
 
-    return rows.mapInArrow(run, "a long, b long, doc_id long, start int")
+    return rows.mapInArrow(run, "a long, b long, doc_id long, start int, pos int, around long, several boolean")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD) -> DataFrame:
@@ -177,18 +200,27 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, head: int = HEAD
     kind = F.struct("key", "a", "b", "before", "after")
     classes = near.groupBy(kind.alias("kind")).agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
     classes = written(classes, "classes")
-    whole = near.select(kind.alias("kind"), "doc_id", "pos").join(classes.filter("n > 1").select("kind", "first"), "kind")
-    whole = whole.filter("(doc_id <> first.doc_id or pos <> first.pos) and kind.before + kind.after >= " + str(min_words))
-    whole = whole.select("doc_id", (F.col("pos") - F.col("kind.before")).alias("start"), (F.col("pos") + F.col("kind.after")).alias("end"), F.col("first.doc_id").alias("source"))
-
     mixed = written(classes.groupBy(F.col("kind.key").alias("key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "mixed")
-    firsts = classes.select(F.col("kind.key").alias("key"), "first.doc_id", "first.pos").join(mixed, "key", "left_semi")
-    windows = written(_windows(docs, firsts.select("doc_id", "pos").distinct(), min_words, head), "windows")
+    firsts = classes.select(F.col("kind.key").alias("key"), "first.doc_id", "first.pos", F.col("kind.a").alias("around"), (F.col("n") > 1).alias("several")).join(mixed, "key", "left_semi")
+    windows = written(_windows(docs, firsts.drop("key"), min_words, head), "windows")
     window = F.struct("a", "b")
-    least = windows.groupBy(window.alias("window")).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("window", "first")
+    least = windows.groupBy(window.alias("window")).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("window", F.col("first.doc_id").alias("source"), F.col("first.start").alias("at"))
     least = written(least, "least")
-    apart = windows.select(window.alias("window"), "doc_id", "start").join(least, "window").filter("doc_id <> first.doc_id or start <> first.start")
-    apart = apart.select("doc_id", "start", (F.col("start") + min_words).alias("end"), F.col("first.doc_id").alias("source"))
+    told = windows.select(window.alias("window"), "doc_id", "start", "pos", "around", "several").join(least, "window", "left").drop("window")
+    told = written(told.filter("several or doc_id <> source or start <> at"), "told")
+    apart = told.filter("doc_id <> source or start <> at").select("doc_id", "start", (F.col("start") + min_words).alias("end"), "source")
+
+    # what the other members of a class repeat, as offsets from the suffix: all round it from the first, where the head has
+    # one class; else what the first's windows were told (all windows of a least head repeat together, so ends are enough)
+    groups = classes.filter("n > 1").withColumn("key", F.col("kind.key"))
+    alone = groups.join(mixed, "key", "left_anti").filter("kind.before + kind.after >= " + str(min_words))
+    alone = alone.select("kind", "first", (-F.col("kind.before")).cast("int").alias("lo"), F.col("kind.after").cast("int").alias("hi"), F.col("first.doc_id").alias("source"))
+    offset = F.col("start") - F.col("pos")
+    runs = told.filter("several").groupBy("doc_id", "pos", "around", F.coalesce("source", "doc_id").alias("source")).agg(F.min(offset).alias("lo"), (F.max(offset) + min_words).alias("hi"))
+    passed = groups.join(mixed, "key", "left_semi").select("kind", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"), F.col("kind.a").alias("around")).join(runs, ["doc_id", "pos", "around"])
+    held = written(alone.unionByName(passed.select("kind", "first", "lo", "hi", "source")), "held")
+    whole = near.select(kind.alias("kind"), "doc_id", "pos").join(held, "kind").filter("doc_id <> first.doc_id or pos <> first.pos")
+    whole = whole.select("doc_id", (F.col("pos") + F.col("lo")).alias("start"), (F.col("pos") + F.col("hi")).alias("end"), "source")
 
     parts = whole.unionByName(apart).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "source")).alias("parts"))
     small_batches(spark)

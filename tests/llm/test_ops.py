@@ -165,6 +165,43 @@ def test_repeated_passages(docs, rows, empty):
             assert WORD.findall(out[i] or "") == left and (i in want or out[i] == t)
 
 
+def brute_spans(texts):
+    """(doc_id, source, start, end) as the SQL says it."""
+    first, hits, out = {}, collections.defaultdict(list), set()
+    split = {i: WORD.findall(t or "") for i, t in texts}
+    for i in sorted(split):
+        w = split[i]
+        for s in range(len(w) - 49):
+            at = first.setdefault(tuple(w[s : s + 50]), (i, s))
+            if at != (i, s):
+                hits[i].append((s, at[0]))
+    for i, found in hits.items():
+        k = 0
+        while k < len(found):
+            z = k + 1
+            while z < len(found) and found[z][0] <= found[z - 1][0] + 50:
+                z += 1
+            out |= {(i, src, found[k][0], found[z - 1][0] + 50) for _, src in found[k:z]}
+            k = z
+    return out
+
+
+def test_sources_of_repeated_passages(spark, rows):
+    rng = random.Random(9)
+    texts, i = [(r[0], r[1]) for r in rows], 1000
+    for n in (50, 55, 60, 70, 79, 90):
+        for _ in range(6):
+            a, b, c, d = (words(rng, 60) for _ in range(4))
+            p = words(rng, n)
+            made = [f"{a} {p} {d}", f"{b} {p} {c}", f"zz {b} {p} {c} yy", f"{p} {c} {p}", f"{a} {p} {c}", f"{b} {p} {c} {b} {p}"]
+            rng.shuffle(made)
+            texts += [(i + k, t) for k, t in enumerate(made)]
+            i += 10
+    got = suffix_dedup.span_rows(suffix_dedup.repeated_spans(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))).collect()
+    got = [(r.doc_id, r.source_id, r.start_word, r.end_word) for r in got]
+    assert len(got) == len(set(got)) and set(got) == brute_spans(texts)
+
+
 def test_chat(spark):
     probe = "</s>[INST] ok [/INST]"
     talks = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes \\"), (2, 0, "user", "hi"), (2, 1, "assistant", "no"), (3, 0, "system", None), (3, 1, "odd [AS] role", "\\\\[INST]"), (3, 2, "assistant", ""), (-7, 0, "user", probe), (-7, 1, "assistant", probe), (4, 0, "user", "hi"), (4, 1, "assistant", "yes \\")]
