@@ -4,7 +4,8 @@ A conversation is a path of turns.  Conversations that share their first turns
 share those nodes: a node is named by a digest that is chained from its parent's
 over role and text, so equal prefixes get equal names on any executor and no
 tree is ever held in one place.  A node's segment (the formatted turn and its
-token ids) is emitted once.  Sorting nodes by their path puts them depth-first;
+token ids) is emitted once.  Sorting nodes by their path (the digests from the
+root, 16 bytes a turn, however many) puts them depth-first;
 a running sum over that order gives each node's place in the packed stream, in
 two levels so that no task sums all.  position_start counts tokens from the
 root; a conversation's ancestors' attention intervals are the places of the
@@ -95,9 +96,9 @@ def _paths(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     for depth, (role, text) in enumerate(zip(pdf["role"], pdf["text"], strict=True)):
         parent = node
         node = _chain(parent, role, text)
-        # order among siblings only has to be the same everywhere: a few bytes of each digest, the whole one at the end
-        path = path + node[:6]
-        rows.append((key[0], depth, node.hex(), parent.hex(), role, text, path[: 6 * 64] + node))
+        # the digests from the root on: a parent's path is a strict prefix of its children's, so it sorts right before them
+        path = path + node
+        rows.append((key[0], depth, node.hex(), parent.hex(), role, text, path))
     return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in TURNS.split(", ")])
 
 

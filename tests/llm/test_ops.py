@@ -225,6 +225,22 @@ def test_chat(spark):
     assert chat_tree.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))[1].count() == 0
 
 
+def test_tree_is_depth_first(spark):
+    rng = random.Random(3)
+    talks = [(c, t, "user" if t % 2 == 0 else "assistant", f"{rng.randint(0, 2)}") for c in range(120) for t in range(rng.randint(1, 6))]
+    # branches that part after the same 70 turns
+    talks += [(200 + c, t, "user", "deep" if t < 70 else f"{c} {t}") for c in range(4) for t in range(90)]
+    tree, _ = chat_tree.format_chats(spark.createDataFrame(talks, "conv_id long, turn long, role string, text string"))
+    open_nodes, at = [], 0
+    for n in sorted(tree.collect(), key=lambda n: n.dfs_start):
+        assert n.dfs_start == at and n.n_tokens > 0
+        at += n.n_tokens
+        while open_nodes and open_nodes[-1] != n.parent:  # subtrees that are left for good
+            open_nodes.pop()
+        assert (open_nodes[-1] if open_nodes else "") == n.parent
+        open_nodes.append(n.node)
+
+
 def test_escape_is_reversible():
     rng = random.Random(1)
     for _ in range(500):
