@@ -97,6 +97,9 @@ def exact_duplicates(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
-    """The rows of docs that stay, with docs' own columns; of rows that repeat a kept doc_id with one text all stay."""
-    kept = exact_duplicates(docs, digest_bits).filter("kept").select(F.col("doc_id").alias("__quarry_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__quarry_id")), "left_semi")
+    """The rows of docs that stay, with docs' own columns; of rows that repeat a kept doc_id with one text all stay.
+
+    A doc_id that repeats with other texts stays only with those that it is kept for.
+    """
+    kept = exact_duplicates(docs, digest_bits).filter("kept").select(F.col("doc_id").alias("__quarry_id"), F.col("text_sha256").alias("__quarry_digest")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__quarry_id")) & (F.sha2(content(), 256) == F.col("__quarry_digest")), "left_semi")

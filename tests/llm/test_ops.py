@@ -81,6 +81,13 @@ def brute_print(t):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_a_repeated_id_stays_by_text(spark):
+    frame = spark.createDataFrame([(7, "A"), (7, "B"), (9, "a"), (None, "c"), (None, None)], "doc_id long, text string")
+    for bits in (256, 4):
+        got = sorted(((r.doc_id or -1, r.text or "") for r in exact_dedup.drop_exact_duplicates(frame, bits).collect()))
+        assert got == [(-1, ""), (-1, "c"), (7, "B"), (9, "a")]
+
+
 def test_simhash(docs, rows, empty):
     got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
     prints = {i: brute_print(t) for i, t, *_ in rows}
