@@ -4,13 +4,12 @@ import collections
 import hashlib
 import random
 import re
-import zlib
 
 import numpy as np
 import pytest
 import xxhash
 
-from quarry.llm import bpe, chat_tree, components, exact_dedup, license_scan, ngram_lm, packing, quality, simhash, suffix_dedup, token_hist
+from quarry.llm import bpe, chat_tree, components, exact_dedup, license_scan, ngram_lm, quality, simhash, suffix_dedup, token_hist
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOC = "doc_id long, text string, lang string, source string, n_chars long, spans string, key long"
@@ -257,47 +256,6 @@ def test_escape_is_reversible():
         assert chat_tree.parse(chat_tree.BOS + body) == [("user", t)]
 
 
-def test_packing(docs, rows, empty):
-    codec = bpe.load(bpe.default_path())
-    ids = {i: np.append(x, 0).astype("<u4") for (i, *_), x in zip(rows, codec.encode([r[1] or "" for r in rows]), strict=True)}
-    pieces = packing.pack(docs).collect()
-    by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
-    for p in pieces:
-        by_doc[p.doc_id].append(p)
-        by_seq[p.sequence_id].append(p)
-    for i, x in ids.items():
-        at = 0
-        for p in sorted(by_doc[i], key=lambda p: p.start):
-            assert p.start == at and p.length > 0 and p.doc_tokens == len(x) and p.ids_crc32 == zlib.crc32(x[at : at + p.length].tobytes())
-            at += p.length
-        assert at == len(x)
-    for ps in by_seq.values():
-        at = 0
-        for p in sorted(ps, key=lambda p: p.offset):
-            assert p.offset == at
-            at += p.length
-        assert at <= 1024
-    assert packing.pack(empty).count() == 0
-
-
-def test_cuts_are_optimal():
-    rng = random.Random(2)
-    for _ in range(60):
-        cuts = [0]
-        while len(cuts) < 12:
-            cuts.append(cuts[-1] + rng.randint(1, 6))
-        pen = [rng.randint(0, 4) for _ in cuts]
-        best = [0.0] + [None] * (len(cuts) - 1)
-        for j in range(1, len(cuts)):
-            best[j] = pen[j] + min(best[i] + 10 - (cuts[j] - cuts[i]) for i in range(j) if cuts[j] - cuts[i] <= 10)
-        ends = packing.choose_cuts(cuts, pen, 10)
-        cost, at = 0, 0
-        for e in ends:
-            cost += 10 - (e - at) + pen[cuts.index(e)]
-            at = e
-        assert cost == best[-1]
-
-
 def test_histogram(docs, rows, empty):
     codec = bpe.load(bpe.default_path())
     n = [len(x) for x in codec.encode([r[1] or "" for r in rows])]
