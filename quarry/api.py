@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from quarry import edn
 from quarry.edn import Keyword
 from quarry.functions.registry import Arg
-from quarry.operators.aggregates import aggregate
-from quarry.plans.compiler import Env, State, compile_clauses, join, literal_rows
+from quarry.operators.aggregates import aggregate, amount_of, amounts, drawn, draws
+from quarry.plans.compiler import Env, State, compile_clauses, join, literal_rows, rows_differ
 from quarry.plans.query import Aggregate, PullExpr, Query, QueryError, clause_vars, is_source, is_var, parse, parse_rules
 from quarry.sources.database import Database, kind_of_type, untag
 
@@ -78,7 +78,7 @@ def plan(query, *inputs, names: list[str] | None = None) -> DataFrame:
     out_vars = {x for f in query.find for x in ([f] if is_var(f) else [f.over, *f.args] if isinstance(f, Aggregate) else [f.var]) if is_var(x)} | set(query.with_vars)
     state = compile_clauses(env, query.where, state, out_vars)
     if state.df is None:
-        state = State(env.spark.range(1).select(), {})
+        state = State(env.spark.range(0, 1, 1, 1).select(), {})
     state = _with_consts(env, state, sorted(out_vars))
     names = names or query.keys or [_column_name(f) for f in query.find]
     plain = [f.var if isinstance(f, PullExpr) else f for f in query.find if not isinstance(f, Aggregate)]
@@ -89,24 +89,37 @@ def plan(query, *inputs, names: list[str] | None = None) -> DataFrame:
             keep = list(dict.fromkeys([*plain, *(f.over for f in aggs), *query.with_vars]))
             df = df.select(*[f"`{v}`" for v in keep]).distinct()
         cols: list[Column] = []
+        tops: list[tuple] = []
         for k, f in enumerate(query.find):
             if isinstance(f, Aggregate):
-                extra = [env.consts.get(a, a) if is_var(a) else a for a in f.args]
+                extra = [env.consts.get(a, a) if is_var(a) else env.sources.get(a, a) if is_source(a) else a for a in f.args]
                 a = Arg(F.col(f"`{f.over}`"), state.vars[f.over])
                 fn = env.callables.get(f.name)
-                col = fn(*extra, a.col) if fn else aggregate(str(f.name), [x for x in extra if not is_source(x)], a)[0]
+                amount = None if fn else amount_of(str(f.name), [x for x, y in zip(extra, f.args, strict=True) if not is_source(y)])
+                if amount is not None and f.name == "rand":
+                    df, made = draws(df, amount, f"_d{k}_")
+                    cols.append(drawn(a, amount, made).alias(f"o{k}"))
+                    continue
+                if amount is not None:
+                    tops.append((k, str(f.name), amount, a))
+                    continue
+                col = fn(*extra, a.col) if fn else aggregate(str(f.name), [x for x, y in zip(extra, f.args, strict=True) if not is_source(y)], a)[0]
                 cols.append(col.alias(f"o{k}"))
         keys = list(dict.fromkeys(plain))
-        if keys:
-            df = df.groupBy(*[F.col(f"`{v}`").alias(f"k{i}") for i, v in enumerate(keys)]).agg(*cols)
-        else:
-            # no rows give no group, not a row of zeros
-            df = df.agg(F.count(F.lit(1)).alias("_n"), *cols).filter("_n > 0")
+        names_of = [f"k{i}" for i in range(len(keys))]
+        keyed = df.withColumns({f"k{i}": F.col(f"`{v}`") for i, v in enumerate(keys)}) if keys else df
+        # no rows give no group, not a row of zeros
+        df = keyed.groupBy(*names_of).agg(F.count(F.lit(1)).alias("_n"), *cols)
+        df = df if keys else df.filter("_n > 0")
+        for k, name, n, a in tops:
+            top = amounts(keyed, names_of, name, n, a).withColumnRenamed("values", f"o{k}")
+            df = df.join(top, names_of) if keys else df.crossJoin(top)  # a row each
         picked = [F.col(f"o{k}") if isinstance(f, Aggregate) else F.col(f"k{keys.index(f.var if isinstance(f, PullExpr) else f)}") for k, f in enumerate(query.find)]
         df = df.select(*[c.alias(n) for c, n in zip(picked, names, strict=True)])
     else:
         keep = list(dict.fromkeys([*plain, *query.with_vars]))
-        df = df.select(*[f"`{v}`" for v in keep]).distinct()
+        df = df.select(*[f"`{v}`" for v in keep])
+        df = df if rows_differ(env, query.where, keep) else df.distinct()
         df = df.select(*[F.col(f"`{v}`").alias(n) for v, n in zip(plain, names, strict=True)])
     for f, n in zip(query.find, names, strict=True):
         if isinstance(f, PullExpr):
@@ -114,6 +127,20 @@ def plan(query, *inputs, names: list[str] | None = None) -> DataFrame:
     return df
 
 
+def plan_with(query, extra_vars: list, *inputs, names: list[str] | None = None) -> DataFrame:
+    """plan() with more :with variables than the query names itself."""
+    query = parse(query)
+    more = [edn.Symbol(v if v.startswith("?") else f"?{v}") for v in extra_vars]
+    return plan(replace(query, with_vars=list(dict.fromkeys([*query.with_vars, *more]))), *inputs, names=names)
+
+
+def q_with(query, extra_vars: list, *inputs):
+    """q() with more :with variables than the query names itself."""
+    query = parse(query)
+    more = [edn.Symbol(v if v.startswith("?") else f"?{v}") for v in extra_vars]
+    return q(replace(query, with_vars=list(dict.fromkeys([*query.with_vars, *more]))), *inputs)
+
+
 def _pulled(env: Env, df: DataFrame, f: PullExpr, n: str) -> DataFrame:
     """Replace an id column by the pulled struct; rows of which nothing is pulled go."""
     from quarry.operators.pull import pull_frame

@@ -13,11 +13,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry import edn
 from quarry.plans.query import QueryError
-from quarry.sources.database import TAGGED, tagged
+from quarry.sources.database import TAGGED, kind_of_type, tagged
 
 SPACE = " \n\r\t\f"
 NUMBERS = ("long", "double", "entity")
+#: Kinds that are arrays, and all kinds that hold other values.
+SEQUENCES = ("array", "list", "set")
+COLLECTIONS = (*SEQUENCES, "map")
 
 
 @dataclass
@@ -26,6 +30,7 @@ class Arg:
     kind: str
     value: object = None
     const: bool = False
+    elem: object = None  # of a collection in a column: its Spark type
 
 
 @dataclass
@@ -39,7 +44,12 @@ class Result:
 def order_key(a: Arg) -> Column:
     """Orders and equates values across types; numbers compare by value whatever their type."""
     t = tagged(a.col, a.kind)
-    return F.struct(t["rank"].alias("r"), t["num"].alias("n"), F.when(t["rank"] == 9, None).otherwise(t["lng"]).alias("l"), t["str"].alias("s"))
+    text = t["str"]
+    if a.kind in ("keyword", "any"):
+        # keywords by namespace, then name; one without a namespace comes first
+        parts = F.when(F.instr(text, "/") > 1, F.translate(text, "/", "\x01")).otherwise(F.concat(F.lit(":\x01"), F.substring(text, 2, 1 << 30)))
+        text = parts if a.kind == "keyword" else F.when(t["rank"] == 1, parts).otherwise(text)
+    return F.struct(t["rank"].alias("r"), t["num"].alias("n"), F.when(t["rank"] == 9, None).otherwise(t["lng"]).alias("l"), text.alias("s"))
 
 
 def _like(a: Arg, b: Arg) -> bool:
@@ -47,13 +57,13 @@ def _like(a: Arg, b: Arg) -> bool:
 
 
 def keys(args: list[Arg]) -> list[Column]:
-    if all(_like(args[0], x) for x in args[1:]) and args[0].kind not in ("any", "nil"):
+    if all(_like(args[0], x) for x in args[1:]) and args[0].kind not in ("any", "nil", "keyword", "map"):
         return [x.col for x in args]
     return [order_key(x) for x in args]
 
 
 def equal(a: Arg, b: Arg) -> Column:
-    x, y = keys([a, b])
+    x, y = (a.col, b.col) if a.kind == b.kind == "keyword" else keys([a, b])
     return x.eqNullSafe(y)
 
 
@@ -105,7 +115,12 @@ def _numeric(test: Callable[[Column], Column], whole: bool = False):
 
 
 def _size(a: Arg) -> Column:
-    return F.size(a.col) if a.kind in ("array", "map") else F.length(a.col)
+    """Elements of a collection, characters of a string; NULL for what has no size."""
+    if a.kind in COLLECTIONS:
+        return F.size(a.col)
+    if a.kind == "any":
+        return F.when(a.col["rank"] == 10, F.length(a.col["str"]))
+    return F.length(a.col) if a.kind == "string" else F.lit(None).cast("int")
 
 
 def _contains(args: list[Arg]) -> Column:
@@ -114,13 +129,24 @@ def _contains(args: list[Arg]) -> Column:
         return F.map_contains_key(c.col, k.col)
     if c.kind == "set":
         return F.array_contains(c.col, k.col)
+    if c.kind not in SEQUENCES or k.kind not in NUMBERS:
+        return F.lit(False)
     return (k.col >= 0) & (k.col < F.size(c.col))
 
 
-def pattern_of(a: Arg) -> str:
-    if not a.const:
-        raise QueryError("a regular expression must be a constant")
-    return a.value.pattern if isinstance(a.value, re.Pattern) else str(a.value)
+def _is_regex(a: Arg) -> bool:
+    return a.kind == "regex"
+
+
+def pattern_of(a: Arg) -> Column:
+    """The regular expression, a constant or a column of patterns."""
+    if a.const:
+        return F.lit(a.value.pattern if isinstance(a.value, re.Pattern) else str(a.value))
+    return a.col
+
+
+def whole_pattern(a: Arg) -> Column:
+    return F.concat(F.lit("^(?:"), pattern_of(a), F.lit(")$"))
 
 
 def _differ(args: list[Arg]) -> Column:
@@ -138,7 +164,7 @@ PREDICATES: dict[str, Callable[[list[Arg]], Column]] = {
     "not": lambda x: ~truthy(x[0]), "and": lambda xs: _all(truthy(x) for x in xs), "or": lambda xs: ~_all(~truthy(x) for x in xs),
     "empty?": lambda x: _size(x[0]) == 0, "not-empty": lambda x: _size(x[0]) > 0, "contains?": _contains, "-differ?": _differ, "identical?": lambda x: equal(*x),
     "blank?": lambda x: F.length(F.btrim(x[0].col, F.lit(SPACE))) == 0, "includes?": lambda x: F.contains(x[0].col, x[1].col), "starts-with?": lambda x: F.startswith(x[0].col, x[1].col), "ends-with?": lambda x: F.endswith(x[0].col, x[1].col),
-    "re-find": lambda x: x[1].col.rlike(pattern_of(x[0])), "re-matches": lambda x: x[1].col.rlike(f"^(?:{pattern_of(x[0])})$"),
+    "re-find": lambda x: F.rlike(x[1].col, pattern_of(x[0])), "re-matches": lambda x: F.rlike(x[1].col, whole_pattern(x[0])),
 }
 PREDICATES["=="] = PREDICATES["="]
 PREDICATES["not-empty?"] = PREDICATES["not-empty"]
@@ -194,7 +220,21 @@ def _int2(f):
     return run
 
 
+def _element(t, c: Column, readable: bool) -> Column:
+    """An element of a collection, printed; t: its Spark type."""
+    kind = kind_of_type(t)
+    return _str_of(Arg(c, kind, elem=t if kind in COLLECTIONS else None), readable)
+
+
 def _str_of(a: Arg, readable: bool = False) -> Column:
+    if a.const and a.kind in COLLECTIONS:
+        return F.lit(edn.write(a.value, readable))
+    if a.kind in SEQUENCES and a.elem is not None:
+        left, right = {"array": ("[", "]"), "list": ("(", ")"), "set": ("#{", "}")}[a.kind]
+        return F.concat(F.lit(left), F.array_join(F.transform(a.col, lambda x: _element(a.elem.elementType, x, readable)), " "), F.lit(right))
+    if a.kind == "map" and a.elem is not None:
+        pair = lambda e: F.concat(_element(a.elem.keyType, e["key"], readable), F.lit(" "), _element(a.elem.valueType, e["value"], readable))
+        return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(a.col), pair), ", "), F.lit("}"))
     if a.kind == "nil":
         return F.lit("nil" if readable else "")
     if a.kind == "any":
@@ -229,11 +269,11 @@ def _subs(args: list[Arg]) -> Result:
 
 def _replace(args: list[Arg], first: bool = False) -> Result:
     s, what, new = args
-    if isinstance(what.value, re.Pattern):
-        p = what.value.pattern
+    if _is_regex(what):
+        p = pattern_of(what)
         if first:
-            return Result(F.regexp_replace(s.col, F.lit(f"^((?s:.*?))(?:{p})"), F.concat(F.lit("$1"), new.col)), "string")
-        return Result(F.regexp_replace(s.col, F.lit(p), new.col), "string")
+            return Result(F.regexp_replace(s.col, F.concat(F.lit("^((?s:.*?))(?:"), p, F.lit(")")), F.concat(F.lit("$1"), new.col)), "string")
+        return Result(F.regexp_replace(s.col, p, new.col), "string")
     if first:
         at = F.instr(s.col, what.col)
         return Result(F.when(at > 0, F.concat(s.col.substr(F.lit(1), at - 1), new.col, s.col.substr(at + F.length(what.col), F.length(s.col)))).otherwise(s.col), "string")
@@ -242,8 +282,8 @@ def _replace(args: list[Arg], first: bool = False) -> Result:
 
 def _split(args: list[Arg]) -> Result:
     s, p = args[0].col, args[1]
-    regex = isinstance(p.value, re.Pattern)
-    pattern = p.value.pattern if regex else re.escape(str(p.value))
+    regex = _is_regex(p)
+    pattern = pattern_of(p) if regex else F.lit(re.escape(str(p.value))) if p.const else F.concat(F.lit("\\Q"), p.col, F.lit("\\E"))
     if len(args) > 2:
         return Result(F.split(s, pattern, int(args[2].value)), "array")
     out = F.split(s, pattern, -1)
@@ -258,6 +298,8 @@ def _get(args: list[Arg]) -> Result:
     c, k = args[0], args[1]
     if c.kind == "map":
         v = F.try_element_at(c.col, k.col)
+    elif c.kind == "set":
+        v = F.when(F.array_contains(c.col, k.col), k.col)
     else:
         v = F.get(c.col, k.col.cast("int"))
     if len(args) > 2:
@@ -289,6 +331,10 @@ def _array(args: list[Arg]) -> Result:
     return Result(F.array(*_same(args)[0]) if args else F.array(), "array")
 
 
+def _list(args: list[Arg]) -> Result:
+    return Result(_array(args).col, "list")
+
+
 def _map(args: list[Arg]) -> Result:
     if len(args) % 2:
         raise QueryError("hash-map needs an even number of arguments")
@@ -317,6 +363,14 @@ def _compare(args: list[Arg]) -> Result:
     return Result(F.when(a < b, -1).when(a > b, 1).otherwise(0).cast("bigint"), "long")
 
 
+def _rand_int(args: list[Arg]) -> Result:
+    n = args[0].col
+    if args[0].const and not args[0].value > 0:
+        raise QueryError("rand-int needs a positive number")
+    checked = F.when(n > 0, n).otherwise(F.raise_error(F.lit("rand-int needs a positive number")).cast("bigint"))
+    return Result(F.floor(F.rand() * checked).cast("bigint"), "long")
+
+
 def _text(f, kind: str = "string", drop: bool = False):
     return lambda x: Result(f(*[a.col for a in x]), kind, drop)
 
@@ -336,7 +390,7 @@ def _keyword(args: list[Arg]) -> Result:
     return Result(F.concat(F.lit(":"), F.concat_ws("/", *cols)), "keyword")
 
 
-TYPES = {"long": "int", "entity": "ref", "double": "float", "string": "string", "keyword": "keyword", "symbol": "symbol", "bool": "bool", "ts": "instant", "uuid": "uuid", "nil": "nil", "array": "vector", "map": "map", "struct": "tuple", "regex": "regex"}
+TYPES = {"long": "int", "entity": "ref", "double": "float", "string": "string", "keyword": "keyword", "symbol": "symbol", "bool": "bool", "ts": "instant", "uuid": "uuid", "nil": "nil", "array": "vector", "list": "list", "set": "set", "map": "map", "struct": "tuple", "regex": "regex"}
 
 
 def _type(args: list[Arg]) -> Result:
@@ -345,7 +399,7 @@ def _type(args: list[Arg]) -> Result:
         return Result(F.lit(f":type/{TYPES.get(a.kind, a.kind)}"), "keyword")
     r = a.col["rank"]
     out = F.when(r == 9, F.when(a.col["lng"].isNotNull(), ":type/int").otherwise(":type/float"))
-    for rank, n in ((0, "nil"), (1, "keyword"), (2, "symbol"), (8, "bool"), (10, "string"), (12, "instant"), (13, "uuid")):
+    for rank, n in ((0, "nil"), (1, "keyword"), (2, "symbol"), (3, "map"), (4, "set"), (5, "list"), (6, "vector"), (7, "tuple"), (8, "bool"), (10, "string"), (12, "instant"), (13, "uuid")):
         out = out.when(r == rank, f":type/{n}")
     return Result(out, "keyword")
 
@@ -365,16 +419,16 @@ FUNCTIONS: dict[str, Callable[[list[Arg]], Result]] = {
     "+": _arith(lambda a, b: a + b, 0), "-": _arith(lambda a, b: a - b, 0), "*": _arith(lambda a, b: a * b, 1), "/": _divide,
     "quot": _int2(lambda x, y: F.when(y == 0, F.raise_error(F.lit("Divide by zero")).cast("bigint")).otherwise(F.try_divide(x - F.try_mod(x, y), y))), "rem": _int2(lambda x, y: x % y), "mod": _int2(lambda x, y: ((x % y) + y) % y),
     "inc": lambda x: FUNCTIONS["+"]([*x, Arg(F.lit(1), "long")]), "dec": lambda x: FUNCTIONS["-"]([*x, Arg(F.lit(1), "long")]),
-    "compare": _compare, "min": _extremum(F.least), "max": _extremum(F.greatest), "rand": lambda x: Result(F.rand(), "double"), "rand-int": lambda x: Result(F.floor(F.rand() * x[0].col), "long"),
+    "compare": _compare, "min": _extremum(F.least), "max": _extremum(F.greatest), "rand": lambda x: Result(F.rand(), "double"), "rand-int": _rand_int,
     "identity": lambda x: Result(x[0].col, x[0].kind), "ground": lambda x: Result(x[0].col, x[0].kind), "not": lambda x: Result(~truthy(x[0]), "bool"), "and": lambda x: _choose(x, False), "or": lambda x: _choose(x, True),
     "lower-case": _text(F.lower), "upper-case": _text(F.upper), "capitalize": lambda x: Result(F.concat(F.upper(x[0].col.substr(1, 1)), F.lower(x[0].col.substr(F.lit(2), F.length(x[0].col)))), "string"), "reverse": _text(F.reverse),
     "trim": _text(lambda c: F.btrim(c, F.lit(SPACE))), "triml": _text(lambda c: F.ltrim(c, F.lit(SPACE))), "trimr": _text(lambda c: F.rtrim(c, F.lit(SPACE))), "trim-newline": _text(lambda c: F.rtrim(c, F.lit("\n\r"))),
     "index-of": _index, "last-index-of": _last_index, "subs": _subs, "str": lambda x: _join_str(x, "", False), "print-str": lambda x: _join_str(x, " ", False), "println-str": lambda x: _join_str(x, " ", False, "\n"), "pr-str": lambda x: _join_str(x, " ", True), "prn-str": lambda x: _join_str(x, " ", True, "\n"),
     "join": lambda x: Result(F.array_join(x[-1].col.cast("array<string>"), x[0].value if len(x) > 1 else ""), "string"), "replace": _replace, "replace-first": lambda x: _replace(x, True), "escape": _escape,
-    "re-pattern": lambda x: Result(x[0].col, "regex"), "re-find": lambda x: Result(F.regexp_substr(x[1].col, F.lit(pattern_of(x[0]))), "string", True), "re-matches": lambda x: Result(F.when(x[1].col.rlike(f"^(?:{pattern_of(x[0])})$"), x[1].col), "string", True),
-    "re-seq": lambda x: Result(F.when(x[1].col.rlike(pattern_of(x[0])), F.regexp_extract_all(x[1].col, F.lit(pattern_of(x[0])), F.lit(0))), "array", True), "split": _split, "split-lines": lambda x: Result(F.split(x[0].col, "\r\n|\r|\n"), "array"),
+    "re-pattern": lambda x: Result(x[0].col, "regex"), "re-find": lambda x: Result(F.regexp_substr(x[1].col, pattern_of(x[0])), "string", True), "re-matches": lambda x: Result(F.when(F.rlike(x[1].col, whole_pattern(x[0])), x[1].col), "string", True),
+    "re-seq": lambda x: Result(F.when(F.rlike(x[1].col, pattern_of(x[0])), F.regexp_extract_all(x[1].col, pattern_of(x[0]), F.lit(0))), "array", True), "split": _split, "split-lines": lambda x: Result(F.split(x[0].col, "\r\n|\r|\n"), "array"),
     "name": _name, "namespace": _namespace, "keyword": _keyword, "type": _type, "meta": lambda x: Result(F.lit(None).cast("string"), "nil"),
-    "vector": _array, "list": _array, "set": lambda x: Result(F.array_sort(F.array_distinct(_array(x).col)), "set"), "hash-map": _map, "array-map": _map, "get": _get, "count": lambda x: Result(_size(x[0]).cast("bigint"), "long"), "range": _range,
+    "vector": _array, "list": _list, "set": lambda x: Result(F.array_sort(F.array_distinct(_array(x).col)), "set"), "hash-map": _map, "array-map": _map, "get": _get, "count": lambda x: Result(_size(x[0]).cast("bigint"), "long"), "range": _range,
     "tuple": lambda x: Result(F.struct(*[a.col.alias(f"t{k}") for k, a in enumerate(x)]), "struct"), "untuple": lambda x: Result(x[0].col, x[0].kind),
 }
 TAGGED_DDL = TAGGED

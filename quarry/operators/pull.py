@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import edn
 from quarry.edn import Keyword, Seq, Symbol
+from quarry.functions.callables import as_column
 from quarry.plans.compiler import attr_name
 from quarry.plans.query import QueryError
-from quarry.sources.database import Attr, Database, untag
+from quarry.sources.database import Attr, Database, _widen, untag
 
 LIMIT = 1000
 XFORMS = {"identity": lambda v: v, "vector": lambda v: [v], "name": lambda v: v.name if isinstance(v, Keyword) else v, "namespace": lambda v: v.namespace if isinstance(v, Keyword) else None, "str": lambda v: "" if v is None else edn.write(v, False)}
@@ -127,9 +128,12 @@ class _Facts:
                 facts[a] = sorted(facts[a], key=lambda v: (str(type(v)), v) if not isinstance(v, (int, float)) else ("", v))
 
     def referrers(self, attr: str, e: int) -> list[int]:
+        """Of an entity; those of all entities that are known by now are read in the same job."""
         if (attr, e) not in self.backward:
-            rel = self.db.relation(attr).filter(F.col("v") == e).select("e").orderBy("e")
-            self.backward[attr, e] = [r.e for r in rel.collect()]
+            ids = [i for i in {e, *self.forward} if (attr, i) not in self.backward]
+            self.backward |= {(attr, i): [] for i in ids}
+            for r in self.db.relation(attr).filter(F.col("v").isin(ids)).select("e", "v").orderBy("e").collect():
+                self.backward[attr, r.v].append(r.e)
         return self.backward[attr, e]
 
 
@@ -156,6 +160,7 @@ def _document(facts: _Facts, spec: list[Selector], e: int, depths: dict, seen: f
     facts.load([e])
     own = facts.forward[e]
     out: dict = {}
+    real = False
     named = {s.name for s in spec if not s.reverse}
     for s in spec:
         if s.attr == ":db/id":
@@ -175,15 +180,15 @@ def _document(facts: _Facts, spec: list[Selector], e: int, depths: dict, seen: f
             continue
         facts.visit(*(("reverse", s.name, e) if s.reverse else ("attr", e, s.name)))
         v = _value(facts, s, e, spec, depths, seen, expand=False)
+        real = real or v is not None
         if v is None and ":default" in s.options:
             v = s.default
         elif s.xform:
             v = s.xform(v)
         if v is not None:
             out[s.key] = v
-    found = {k: v for k, v in out.items() if k != ":db/id"}
-    if not own and not found:
-        return None
+    if not own and not real:
+        return None  # defaults alone make no document
     return out or None
 
 
@@ -232,23 +237,44 @@ def _name(key) -> str:
     return str(key).lstrip(":")
 
 
+def _xform(f, c: Column) -> Column:
+    """An :xform over a column: those of XFORMS by Spark's functions, others are functions of Columns."""
+    if f is XFORMS["identity"]:
+        return c
+    if f is XFORMS["vector"]:
+        return F.when(c.isNotNull(), F.array(c))
+    if f is XFORMS["str"]:
+        return F.coalesce(c.cast("string"), F.lit(""))
+    bare_name = F.regexp_replace(c.cast("string"), "^:", "")
+    if f is XFORMS["name"]:
+        return F.element_at(F.split(bare_name, "/"), -1)
+    if f is XFORMS["namespace"]:
+        return F.when(F.instr(bare_name, "/") > 0, F.regexp_extract(bare_name, "^(.*)/", 1))
+    return as_column(":xform", f, [c], False)
+
+
 def pull_frame(db: Database, pattern, ids: DataFrame | None = None) -> DataFrame:
     """e and a struct column ``pulled`` for each id of ``ids`` (column e), or for every entity that has any named attribute.
 
-    Attributes, :as, :default, :limit, nested patterns, reverse attributes and recursion of a given depth;
-    ``*`` gives a map of printed values.  Entities of which nothing is found are dropped.
+    Attributes, :as, :default, :limit, :xform, nested patterns, reverse attributes and recursion of a given depth.
+    ``*`` gives every attribute of the database its own typed field, components as nested structs (an attribute is
+    not expanded inside itself).  Entities of which nothing is found are dropped.
     """
     spec = parse_pattern(pattern)
-    if ids is None:
-        ids = _entities(db, spec)
-    out, fields = _columns(db, spec, ids.select("e").distinct(), 0)
+    one = _one_table(db, spec)
+    if ids is None and one:
+        # all from one table: its rows are the entities
+        base = _table_columns(db, one, [(k, s) for k, s in enumerate(spec) if s.attr != ":db/id"], 0)
+        out, fields = _columns(db, spec, base, 0, done=set(base.columns))
+    else:
+        out, fields = _columns(db, spec, (_entities(db, spec) if ids is None else ids).select("e").distinct(), 0)
     some = F.lit(False)
     for f, given in fields:
         if not given:
-            some = some | F.col(f).isNotNull()
+            some = some | F.col(f"`{f}`").isNotNull()
     if any(not given for _, given in fields):
         out = out.filter(some)
-    return out.select("e", F.struct(*[F.col(f).alias(f.split("__", 1)[1]) for f, _ in fields]).alias("pulled"))
+    return out.select("e", F.struct(*[F.col(f"`{f}`").alias(f.split("__", 1)[1]) for f, _ in fields]).alias("pulled"))
 
 
 def _entities(db: Database, spec: list[Selector]) -> DataFrame:
@@ -261,47 +287,110 @@ def _entities(db: Database, spec: list[Selector]) -> DataFrame:
     return out.distinct()
 
 
-def _columns(db: Database, spec: list[Selector], ids: DataFrame, level: int) -> tuple[DataFrame, list[tuple[str, bool]]]:
-    """ids with a column a selector, and their names; the flag says that the column is there for any entity."""
-    out, fields = ids, []
+def _plain(db: Database, s: Selector) -> str | None:
+    """The table whose column a selector reads as it is: one value an entity, nothing nested."""
+    schema = db.schema.get(s.name, Attr())
+    if s.attr in ("*", ":db/id") or s.reverse or s.nested is not None or s.depth is not None or schema.many or schema.ref or s.name not in db.virtual:
+        return None
+    t = db.tables[db.virtual[s.name][0]]
+    return t.name if t.unique else None
+
+
+def _one_table(db: Database, spec: list[Selector]) -> str | None:
+    found = {_plain(db, s) for s in spec if s.attr != ":db/id"}
+    return found.pop() if len(found) == 1 else None
+
+
+def _field(s: Selector, k: int, level: int) -> str:
+    return f"{level}_{k}__{_name(s.key)}"
+
+
+def _table_columns(db: Database, table: str, own: list[tuple[int, Selector]], level: int) -> DataFrame:
+    """e and the selectors' columns of one table, in one scan."""
+    t = db.tables[table]
+    e = t.entity()
+    cols = []
+    for k, s in own:
+        c = _widen(F.col(f"`{db.virtual[s.name][1]}`"), db.kind(s.name))
+        if db.condition is not None:
+            c = F.when(db.condition(s.name, e, c), c)
+        cols.append(c.alias(_field(s, k, level)))
+    out = t.rows().select(e.alias("e"), *cols)
+    some = F.lit(False)
+    for k, s in own:
+        some = some | F.col(f"`{_field(s, k, level)}`").isNotNull()
+    return out.filter(some)
+
+
+def _star(db: Database, spec: list[Selector], seen: tuple) -> list[Selector]:
+    """``*`` as a selector for each attribute that is not named otherwise; components expand, but never inside themselves."""
+    named = {s.name for s in spec if s.attr != "*" and not s.reverse}
+    out = [Selector(":db/id", ":db/id", key=Keyword(":db/id"))] if all(s.attr != ":db/id" for s in spec) else []
+    for a in db.attrs():
+        if a in named or a in seen:
+            continue
+        s = Selector(a, a, key=Keyword(a))
+        if db.schema.get(a, Attr()).component:
+            s.nested = _star(db, [], (*seen, a))
+        out.append(s)
+    return out
+
+
+def _columns(db: Database, spec: list[Selector], ids: DataFrame, level: int, done: set | None = None) -> tuple[DataFrame, list[tuple[str, bool]]]:
+    """ids with a column a selector, and their names; the flag says that the column is there for any entity.
+
+    Plain columns of one table come from one scan and one join, whatever their number; done: columns that ids has.
+    """
+    if any(s.attr == "*" for s in spec):
+        spec = [y for s in spec for y in (_star(db, spec, ()) if s.attr == "*" else [s])]
+    out, fields, done = ids, [], done or set()
+    by: dict[str, list[tuple[int, Selector]]] = {}
+    for k, s in enumerate(spec):
+        table = _plain(db, s)
+        if table and _field(s, k, level) not in done:
+            by.setdefault(table, []).append((k, s))
+    for table, own in by.items():
+        out = out.join(_table_columns(db, table, own, level), "e", "left")
+        done = done | {_field(s, k, level) for k, s in own}
     for k, s in enumerate(spec):
-        n = f"{level}_{k}__{_name(s.key)}" if s.attr != "*" else f"{level}_{k}__attrs"
+        n = _field(s, k, level)
         if s.attr == ":db/id":
             out = out.withColumn(n, F.col("e"))
             fields.append((n, True))
             continue
-        if s.attr == "*":
-            all_ = db.datoms_frame().groupBy("e").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("a", F.to_json("v"))))).alias(n))
-            out = out.join(all_, "e", "left")
-            fields.append((n, False))
-            continue
-        schema = db.schema.get(s.name, Attr())
-        rel = db.relation(s.name).select("e", "v")
-        if s.reverse:
-            rel = rel.select(F.col("v").cast("bigint").alias("e"), F.col("e").alias("v"))
-        many = not schema.component if s.reverse else schema.many
-        nested = s.nested
-        if s.depth is not None:
-            if s.depth < 0:
-                raise QueryError("a frame has no type for recursion without bound; use pull()")
-            nested = [Selector(**{**x.__dict__, "depth": s.depth - 1}) if x is s else x for x in spec if x is not s or s.depth > 1]
-        if nested is not None:
-            inner, cols = _columns(db, nested, rel.select(F.col("v").cast("bigint").alias("e")).distinct(), level + 1)
-            some = F.lit(False)
-            for f, given in cols:
-                if not given:
-                    some = some | F.col(f).isNotNull()
-            if any(not g for _, g in cols):
-                inner = inner.filter(some)
-            doc = F.struct(*[F.col(f).alias(f.split("__", 1)[1]) for f, _ in cols])
-            rel = rel.join(inner.select(F.col("e").alias("v"), doc.alias("doc")), "v").select("e", F.col("doc").alias("v"))
-        if many:
-            values = F.array_sort(F.collect_list("v"))
-            one = rel.groupBy("e").agg((F.slice(values, 1, s.limit) if s.limit is not None else values).alias(n))
-        else:
-            one = rel.groupBy("e").agg(F.max("v").alias(n)) if nested is None else rel.groupBy("e").agg(F.first("v").alias(n))
-        out = out.join(one, "e", "left")
+        if n not in done:
+            out = out.join(_selected(db, spec, s, n, level), "e", "left")
+        if s.xform:
+            out = out.withColumn(n, _xform(s.xform, F.col(f"`{n}`")))
         if ":default" in s.options:
             out = out.withColumn(n, F.coalesce(F.col(f"`{n}`"), F.lit(s.default)))
         fields.append((n, False))
     return out, fields
+
+
+def _selected(db: Database, spec: list[Selector], s: Selector, n: str, level: int) -> DataFrame:
+    """e and the values of one selector."""
+    schema = db.schema.get(s.name, Attr())
+    rel = db.relation(s.name).select("e", "v")
+    if s.reverse:
+        rel = rel.select(F.col("v").cast("bigint").alias("e"), F.col("e").alias("v"))
+    many = not schema.component if s.reverse else schema.many
+    nested = s.nested
+    if s.depth is not None:
+        if s.depth < 0:
+            raise QueryError("a frame has no type for recursion without bound; use pull()")
+        nested = [Selector(**{**x.__dict__, "depth": s.depth - 1}) if x is s else x for x in spec if x is not s or s.depth > 1]
+    if nested is not None:
+        inner, cols = _columns(db, nested, rel.select(F.col("v").cast("bigint").alias("e")).distinct(), level + 1)
+        some = F.lit(False)
+        for f, given in cols:
+            if not given:
+                some = some | F.col(f"`{f}`").isNotNull()
+        if any(not g for _, g in cols):
+            inner = inner.filter(some)
+        doc = F.struct(*[F.col(f"`{f}`").alias(f.split("__", 1)[1]) for f, _ in cols])
+        rel = rel.join(inner.select(F.col("e").alias("v"), doc.alias("doc")), "v").select("e", F.col("doc").alias("v"))
+    if many:
+        values = F.array_sort(F.collect_list("v"))
+        return rel.groupBy("e").agg((F.slice(values, 1, s.limit) if s.limit is not None else values).alias(n))
+    return rel.groupBy("e").agg(F.max("v").alias(n)) if nested is None else rel.groupBy("e").agg(F.first("v").alias(n))

@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from quarry import edn
 from quarry.edn import Keyword, Symbol
-from quarry.functions.registry import FUNCTIONS, PREDICATES, Arg, Result, bare, equal
+from quarry.functions.callables import as_column
+from quarry.functions.registry import COLLECTIONS, FUNCTIONS, PREDICATES, Arg, Result, bare, equal
 from quarry.plans.query import Call, InsufficientBindings, Not, Or, Pattern, QueryError, Rule, RuleCall, clause_vars, is_source, is_var
-from quarry.sources.database import Attr, Database, kind_of_type, literal, tagged
+from quarry.sources.database import Attr, Database, TAGGED, kind_of, kind_of_type, literal, tagged
 
 _fresh = itertools.count()
+TAGGED_TYPE = TAGGED.replace(" ", "")
 
 
 @dataclass
@@ -49,7 +51,7 @@ class Env:
 
 
 def one_row(env: Env) -> DataFrame:
-    return env.spark.range(1).select()
+    return env.spark.range(0, 1, 1, 1).select()
 
 
 # ---- joining states --------------------------------------------------------------------------------------------------
@@ -105,15 +107,12 @@ def bind(state: State, var: str, r: Result) -> State:
 def arg(env: Env, state: State, term) -> Arg:
     if is_var(term):
         if term in state.vars:
-            return Arg(state.col(term), state.vars[term])
+            kind = state.vars[term]
+            return Arg(state.col(term), kind, elem=state.df.schema[str(term)].dataType if kind in COLLECTIONS else None)
         if term in env.consts:
             term = env.consts[term]
         else:
             raise InsufficientBindings(f"Insufficient bindings: {term} not bound")
-    if isinstance(term, dict):
-        items = [x for kv in term.items() for x in kv]
-        cols = [literal(x)[0] for x in items]
-        return Arg(F.create_map(*cols), "map", term, True)
     col, kind = literal(term)
     return Arg(col, kind, term, True)
 
@@ -167,7 +166,9 @@ def _match(env: Env, db: Database | None, df: DataFrame, columns: list[tuple[str
                 df = df.filter(F.lit(False))
                 continue
         lit, lk = literal(term)
-        if kind == "any" or (lk != kind and {lk, kind} != {"long", "entity"}):
+        if {lk, kind} <= {"array", "list"} and df.schema[c].dataType.elementType.simpleString() == TAGGED_TYPE:
+            df = df.filter(col == F.array(*[tagged(*literal(x)) for x in term]))
+        elif kind == "any" or (lk != kind and {lk, kind} != {"long", "entity"}):
             df = df.filter(tagged(col, kind) == tagged(lit, lk))
         else:
             df = df.filter(col == lit)
@@ -220,7 +221,7 @@ def star(env: Env, db: Database, table: str, e, parts: list[tuple[str, object]],
     if need_entity or not is_var(e):
         picked.append(t.entity().alias("e"))
         cols.append(("e", "entity", e))
-    frame = t.frame
+    frame = t.rows() if need_entity or not is_var(e) or db.condition is not None else t.frame
     if db.condition is not None:
         for attr, _ in parts:
             frame = frame.filter(db.condition(attr, t.entity(), F.col(f"`{db.virtual[attr][1]}`")))
@@ -295,7 +296,7 @@ def literal_rows(env: Env, value, binding) -> State:
         if b == "_":
             return [{}]
         if len(b) == 2 and b[1] == "...":
-            return [m for x in v for m in match(b[0], x)]
+            return [m for x in (map(list, v.items()) if isinstance(v, dict) else v) for m in match(b[0], x)]
         if len(b) == 1 and isinstance(b[0], list) or len(b) == 2 and isinstance(b[0], list) and b[1] == "...":
             return [m for x in (v.items() if isinstance(v, dict) else v) for m in match(b[0], list(x))]
         if len(list(v)) < len(b):
@@ -310,17 +311,36 @@ def literal_rows(env: Env, value, binding) -> State:
     if not rows:
         kinds = dict.fromkeys(names, "string")
         return State(env.spark.createDataFrame([], ", ".join(f"`{n}` string" for n in names) or "x int").select(*[f"`{n}`" for n in names]), kinds)
-    from quarry.sources.database import SPARK, TAGGED, kind_of, tag_value
+    from quarry.sources.database import SPARK, tag_value
 
-    kinds, cols = {}, []
+    kinds, types, cols = {}, {}, []
     for n in names:
         found = {kind_of(r[n]) for r in rows}
-        kinds[n] = found.pop() if len(found) == 1 else ("double" if found <= {"long", "double"} and False else "any")
-        if kinds[n] in ("array", "nil", "regex"):
+        kinds[n] = found.pop() if len(found) == 1 else "any"
+        element = _element_type([r[n] for r in rows]) if kinds[n] in ("array", "set") else None
+        if element:
+            types[n] = f"array<{element}>"
+            cols.append([[str(x) if isinstance(x, Symbol | Keyword) else x for x in (sorted(r[n]) if kinds[n] == "set" else r[n])] for r in rows])
+            continue
+        if kinds[n] in ("array", "set", "map", "nil", "regex"):
             kinds[n] = "any"
+        types[n] = TAGGED if kinds[n] == "any" else SPARK[kinds[n]]
         cols.append([tag_value(r[n]) if kinds[n] == "any" else str(r[n]) if kinds[n] in ("keyword", "symbol", "uuid") else r[n] for r in rows])
-    ddl = ", ".join(f"`{n}` {TAGGED if kinds[n] == 'any' else SPARK[kinds[n]]}" for n in names)
-    return State(env.spark.createDataFrame(list(zip(*cols, strict=True)), ddl), kinds) if names else State(one_row(env), {})
+    ddl = ", ".join(f"`{n}` {types[n]}" for n in names)
+    if not names:
+        return State(one_row(env), {})
+    out = env.spark.createDataFrame(list(zip(*cols, strict=True)), ddl)
+    # a few rows are one partition, so that a product with them has no more tasks than the other side
+    return State(out.coalesce(1) if len(rows) <= 10_000 else out, kinds)
+
+
+def _element_type(values: list) -> str | None:
+    """The Spark type of the elements of collections that all hold scalars of one kind."""
+    from quarry.sources.database import SPARK
+
+    found = {kind_of(x) for v in values for x in v}
+    kind = found.pop() if len(found) == 1 else None
+    return SPARK.get(kind) if kind not in ("any", "ts") else None
 
 
 def _names(b):
@@ -349,7 +369,7 @@ def call(env: Env, state: State, c: Call) -> State:
         if f is None:
             raise QueryError(f"Unknown predicate or function '{name}'")
         args = [arg(env, state, a) for a in c.args if not is_source(a)]
-        out = f(*[a.col for a in args])
+        out = as_column(str(name), f, [a.col for a in args], c.binding is None)
         if c.binding is None:
             return State(state.df.filter(F.coalesce(out.cast("boolean"), F.lit(False))), state.vars)
         return destructure(env, state, c.binding, Result(out, "unknown", True))
@@ -419,6 +439,33 @@ def attribute_call(env: Env, state: State, c: Call) -> State:
     return State(out.df.drop(n, *drop), out.vars)
 
 
+def rows_differ(env: Env, clauses: list, keep: list) -> bool:
+    """Whether rows of the variables ``keep`` cannot repeat: one entity of one wide table, named by its id or its key, and calls that add no row."""
+    if not clauses or not all(isinstance(c, (Pattern, Call)) for c in clauses):
+        return False
+    found = set()
+    keyed = False
+    for c in clauses:
+        if isinstance(c, Call):
+            # a call without a binding filters; one that binds a variable adds a column, but range gives rows
+            if c.name in ("get-some", "missing?", "range") or isinstance(c.name, list) and c.binding is not None or not (c.binding is None or is_var(c.binding)):
+                return False
+            continue
+        db = env.sources.get(c.source)
+        if not isinstance(db, Database) or len(c.terms) not in (2, 3) or not is_var(c.terms[0]) or is_var(c.terms[1]) or c.terms[1] == "_":
+            return False
+        name, reverse = attr_name(c.terms[1])
+        if reverse or name not in db.virtual:
+            return False
+        table = db.virtual[name][0]
+        found.add((c.source, table, c.terms[0]))
+        t = db.tables[table]
+        if not t.unique or not t.key and c.terms[0] not in keep:
+            return False
+        keyed |= c.terms[0] in keep or (db.virtual[name][1] == t.key and len(c.terms) == 3 and is_var(c.terms[2]) and c.terms[2] in keep)
+    return len(found) == 1 and keyed
+
+
 # ---- clauses ---------------------------------------------------------------------------------------------------------
 
 
@@ -686,6 +733,53 @@ def _called(env: Env, df: DataFrame, kinds: list[str], args: list) -> State:
     return _match(env, None, df, [(f"p{k}", kind, a) for k, (kind, a) in enumerate(zip(kinds, args, strict=True))])
 
 
+def _handed_on(env: Env, state: State, args: list, group: list[str], rules: dict) -> dict[int, object]:
+    """Places of a rule's arguments that are bound at the call and that every recursive call hands on unchanged.
+
+    What the whole fixpoint holds at such a place can only be what the call asks for, so its rows are restricted
+    from the first round on.  Only for a rule that is recursive by itself.
+    """
+    if len(group) != 1:
+        return {}
+    (name,) = group
+
+    def calls(clauses):
+        for c in clauses:
+            if isinstance(c, RuleCall) and c.name == name:
+                yield c
+            elif isinstance(c, Or):
+                for b in c.branches:
+                    yield from calls(b)
+            elif isinstance(c, Not):
+                yield from calls(c.clauses)
+
+    out: dict[int, object] = {}
+    for k, a in enumerate(args):
+        if a == "_" or is_var(a) and a not in state.vars:
+            continue
+        if all(c.source == "$" and c.args[k] == r.params[k] for r in rules[name] for c in calls(r.clauses)):
+            out[k] = a
+    return out
+
+
+def _within(df: DataFrame, bound_at: dict[int, object], state: State) -> DataFrame:
+    for k, a in bound_at.items():
+        if is_var(a):
+            wanted = state.df.select(state.col(a).alias("_w")).distinct()
+            # types that differ are left to the join after the fixpoint
+            if wanted.schema["_w"].dataType == df.schema[f"p{k}"].dataType:
+                df = df.join(wanted, F.col(f"p{k}") == F.col("_w"), "left_semi")
+        else:
+            lit, _ = literal(a)
+            if kind_of_type(df.schema[f"p{k}"].dataType) in ("long", "double", "string", "bool"):
+                df = df.filter(F.col(f"p{k}") == lit)
+    return df
+
+
+#: Written parts of a recursive rule's rows that are read side by side.
+PARTS = 8
+
+
 def fixpoint(env: Env, name: str, state: State, args: list) -> tuple[DataFrame, list[str]]:
     """The least fixpoint of a recursive rule and all that are mutually recursive with it, semi-naively.
 
@@ -702,6 +796,7 @@ def fixpoint(env: Env, name: str, state: State, args: list) -> tuple[DataFrame,
                 if isinstance(c, Not) and calls_in([c]) & set(group):
                     raise QueryError(f"rule {n} negates a rule of its own recursion")
     base_env = replace(env, consts={})
+    bound_at = _handed_on(env, state, args, group, rules)
 
     def project(s: State, r: Rule) -> DataFrame:
         missing = [p for p in r.params if p not in s.vars]
@@ -710,7 +805,14 @@ def fixpoint(env: Env, name: str, state: State, args: list) -> tuple[DataFrame,
         return s.df.select(*[s.col(p).alias(f"p{k}") for k, p in enumerate(r.params)])
 
     kinds: dict[str, list[str]] = {}
-    total: dict[str, DataFrame] = {}
+    total: dict[str, list[DataFrame]] = {}
+
+    def whole(n: str) -> DataFrame:
+        out = total[n][0]
+        for part in total[n][1:]:
+            out = out.unionByName(part)
+        return out
+
     for n in group:
         plain = [r for r in rules[n] if not calls_in(r.clauses) & set(group)]
         states = [(compile_clauses(base_env, r.clauses, None, set(r.params)), r) for r in plain]
@@ -719,11 +821,11 @@ def fixpoint(env: Env, name: str, state: State, args: list) -> tuple[DataFrame,
             kinds[n] = [states[0][0].vars[p] for p in states[0][1].params]
             for s, r in states[1:]:
                 df = df.unionByName(project(s, r))
-            total[n] = cut(df.distinct())
+            total[n] = [cut(_within(df, bound_at, state).distinct())]
     if not total:
         raise QueryError(f"recursive rule {name} has no branch to start from")
     while len(total) < len(group):
-        known = replace(base_env, relations=base_env.relations | {n: (total[n], [], kinds[n]) for n in total})
+        known = replace(base_env, relations=base_env.relations | {n: (whole(n), [], kinds[n]) for n in total})
         grew = False
         for n in group:
             if n in total:
@@ -732,12 +834,12 @@ def fixpoint(env: Env, name: str, state: State, args: list) -> tuple[DataFrame,
                 if calls_in(r.clauses) & set(group) <= set(total):
                     s = compile_clauses(known, r.clauses, None, set(r.params))
                     kinds[n] = [s.vars[p] for p in r.params]
-                    total[n] = cut(project(s, r).distinct())
+                    total[n] = [cut(_within(project(s, r), bound_at, state).distinct())]
                     grew = True
                     break
         if not grew:
             raise QueryError(f"recursive rule {name} has no branch to start from")
-    delta = dict(total)
+    delta = {n: whole(n) for n in total}
     for _ in range(env.max_rounds):
         new: dict[str, DataFrame] = {}
         for n in group:
@@ -746,7 +848,7 @@ def fixpoint(env: Env, name: str, state: State, args: list) -> tuple[DataFrame,
                 sites = [k for k, c in enumerate(r.clauses) if isinstance(c, RuleCall) and c.name in group]
                 nested = (calls_in(r.clauses) & set(group)) - {r.clauses[k].name for k in sites}
                 for site in sites or ([None] if nested else []):
-                    tables = {m: (total[m], [], kinds[m]) for m in group}
+                    tables = {m: (whole(m), [], kinds[m]) for m in group}
                     clauses = list(r.clauses)
                     if site is not None and not nested:
                         # this call reads only what is new; the others read all
@@ -758,12 +860,15 @@ def fixpoint(env: Env, name: str, state: State, args: list) -> tuple[DataFrame,
                     found = one if found is None else found.unionByName(one)
             if found is not None:
                 keys = [f"p{k}" for k in range(len(kinds[n]))]
-                new[n] = cut(found.distinct().join(total[n], keys, "left_anti"))
+                new[n] = cut(found.distinct().join(whole(n), keys, "left_anti"))
         live = [n for n in new if not new[n].isEmpty()]
         if not live:
-            return total[name], kinds[name]
+            return whole(name), kinds[name]
         for n in group:
-            delta[n] = new.get(n, total[n].limit(0))
+            delta[n] = new.get(n, whole(n).limit(0))
             if n in live:
-                total[n] = cut(total[n].unionByName(new[n]))
+                # only what is new is written; the parts are brought together now and then
+                total[n].append(new[n])
+                if len(total[n]) > PARTS:
+                    total[n] = [cut(whole(n))]
     raise QueryError(f"recursive rule {name} did not settle in {env.max_rounds} rounds")

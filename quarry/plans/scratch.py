@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint a frame under ``spark.checkpoint.dir``; a temporary folder is set only in one local process."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one is set only in one local process."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
@@ -17,4 +18,15 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="quarry-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint a frame under the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry import families
 from quarry.api import plan
 from quarry.operators import index
 from quarry.operators.pull import pull_frame
@@ -161,7 +162,7 @@ def _datoms_scan(spark, sf_dir):
 def _diff(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     a = Database(spark).with_relation(":status", o.select(F.col("o_orderkey").alias("e"), F.col("o_orderstatus").alias("v")))
-    b = Database(spark).with_relation(":status", o.filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("e"), F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("v")))
+    b = Database(spark).with_relation(":status", o.select(F.when(F.col("o_totalprice") > 150000, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("e"), F.when(F.col("o_orderpriority") == "5-LOW", "X").otherwise(F.col("o_orderstatus")).alias("v")))
     left, right, both = index.diff(a, b)
     tag = lambda df, t: df.select("e", F.col("v.str").alias("v"), F.lit(t).alias("side"))
     return tag(left, "left").unionByName(tag(right, "right")).unionByName(tag(both, "both"))
@@ -181,12 +182,12 @@ _FRAMES = {
     "pull_reverse": (_pull_reverse, "SELECT n_name AS name, count(s_suppkey) AS n_suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1"),
     "index_range": (_index_range, "SELECT p_partkey AS partkey, p_retailprice AS price FROM part WHERE p_retailprice BETWEEN 910 AND 915"),
     "datoms_scan": (_datoms_scan, "SELECT n_nationkey::BIGINT AS nationkey, n_name AS name FROM nation"),
-    "db_diff": (_diff, "SELECT coalesce(a.k, b.k) AS e, coalesce(a.s, b.s) AS v, CASE WHEN b.k IS NULL THEN 'left' WHEN a.k IS NULL THEN 'right' ELSE 'both' END AS side FROM (SELECT o_orderkey k, o_orderstatus s FROM orders) a FULL JOIN (SELECT o_orderkey k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END s FROM orders WHERE o_orderkey % 3 <> 0) b ON a.k = b.k AND a.s = b.s"),
+    "db_diff": (_diff, "SELECT coalesce(a.k, b.k) AS e, coalesce(a.s, b.s) AS v, CASE WHEN b.k IS NULL THEN 'left' WHEN a.k IS NULL THEN 'right' ELSE 'both' END AS side FROM (SELECT o_orderkey k, o_orderstatus s FROM orders) a FULL JOIN (SELECT CASE WHEN o_totalprice > 150000 THEN -o_orderkey ELSE o_orderkey END k, CASE WHEN o_orderpriority = '5-LOW' THEN 'X' ELSE o_orderstatus END s FROM orders) b ON a.k = b.k AND a.s = b.s"),
     "filtered_database": (_filtered, "SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_totalprice > 150000 GROUP BY 1"),
 }
 
-QUERIES = {n: _SPECIAL.get(n) or _run(n) for n in DATALOG} | {n: f for n, (f, _) in _FRAMES.items()}
-ORACLE_SQL = {n: sql for n, (_, _, sql, _) in DATALOG.items()} | {n: sql for n, (_, sql) in _FRAMES.items()}
+QUERIES = {n: _SPECIAL.get(n) or _run(n) for n in DATALOG} | {n: f for n, (f, _) in _FRAMES.items()} | families.QUERIES
+ORACLE_SQL = {n: sql for n, (_, _, sql, _) in DATALOG.items()} | {n: sql for n, (_, sql) in _FRAMES.items()} | families.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ stored attribute is a typed frame of its own.  A NULL is no fact.
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
 import uuid
 from dataclasses import dataclass, field, replace
@@ -22,6 +23,8 @@ from quarry.edn import Keyword, Symbol
 TX0, MAX_ENTITY = 0x20000000, 0x7FFFFFFF
 #: Entity ids of a table's rows: its ordinal above so many bits of the key.
 KEY_BITS = 48
+#: The column that numbers the rows of a table without a key.
+ROW = "__row"
 
 
 @dataclass(frozen=True)
@@ -84,7 +87,7 @@ def schema_of(form: dict) -> dict[str, Attr]:
 
 #: One orderable struct for values of any type: type rank first, then the value itself.
 TAGGED = "struct<rank: int, num: double, lng: bigint, str: string>"
-RANKS = {"nil": 0, "keyword": 1, "symbol": 2, "bool": 8, "long": 9, "entity": 9, "double": 9, "string": 10, "regex": 11, "ts": 12, "uuid": 13, "array": 6, "struct": 7}
+RANKS = {"nil": 0, "keyword": 1, "symbol": 2, "bool": 8, "long": 9, "entity": 9, "double": 9, "string": 10, "regex": 11, "ts": 12, "uuid": 13, "map": 3, "set": 4, "list": 5, "array": 6, "struct": 7}
 SPARK = {"long": "bigint", "entity": "bigint", "double": "double", "string": "string", "keyword": "string", "symbol": "string", "bool": "boolean", "ts": "timestamp", "uuid": "string", "any": TAGGED}
 
 
@@ -109,7 +112,11 @@ def kind_of(v) -> str:
         return "uuid"
     if isinstance(v, re.Pattern):
         return "regex"
-    if isinstance(v, (list, tuple, set, frozenset)):
+    if isinstance(v, (set, frozenset)):
+        return "set"
+    if isinstance(v, dict):
+        return "map"
+    if isinstance(v, (list, tuple)):
         return "array"
     raise TypeError(f"no kind for {v!r}")
 
@@ -125,6 +132,8 @@ def kind_of_type(t: T.DataType) -> str:
         return "ts"
     if isinstance(t, T.ArrayType):
         return "array"
+    if isinstance(t, T.MapType):
+        return "map"
     if isinstance(t, T.StructType):
         return "any" if t.simpleString() == T._parse_datatype_string(TAGGED).simpleString() else "struct"
     return "string"
@@ -144,7 +153,7 @@ def tagged(c: Column, kind: str) -> Column:
         lng = c.cast("bigint")
     elif kind == "ts":
         lng = F.unix_millis(c)
-    elif kind in ("array", "struct"):
+    elif kind in ("array", "list", "set", "map", "struct"):
         s = F.to_json(c)
     else:
         s = c.cast("string")
@@ -164,9 +173,20 @@ def tag_value(v):
         return (12, None, int(v.replace(tzinfo=dt.UTC).timestamp() * 1000), None)
     if k == "nil":
         return (0, None, None, None)
+    if k in ("array", "set", "map"):
+        return (RANKS[k], None, None, json_text(v))
     return (RANKS[k], None, None, str(v) if k != "regex" else v.pattern)
 
 
+def json_text(v) -> str:
+    """A collection as the text that to_json gives for the same collection as a column."""
+    if isinstance(v, (set, frozenset)):
+        v = sorted(v, key=lambda x: (str(type(x)), x))
+    if isinstance(v, (list, tuple)):
+        v = [list(x) if isinstance(x, (tuple, set, frozenset)) else x for x in v]
+    return json.dumps(v, separators=(",", ":"), ensure_ascii=False, default=str)
+
+
 def untag(t):
     """The Python value of a collected tagged struct."""
     if t is None or t["rank"] == 0:
@@ -183,12 +203,15 @@ def untag(t):
 
 def literal(v) -> tuple[Column, str]:
     k = kind_of(v)
-    if k == "array":
-        items = [literal(x) for x in (sorted(v, key=str) if isinstance(v, (set, frozenset)) else v)]
+    if k in ("array", "set"):
+        items = [literal(x) for x in v]
         kinds = {x[1] for x in items}
-        if len(kinds) > 1:
-            return F.array(*[tagged(*x) for x in items]), "array"
-        return F.array(*[x[0] for x in items]), "array"
+        out = F.array(*[tagged(*x) for x in items]) if len(kinds) > 1 else F.array(*[x[0] for x in items])
+        return (F.array_sort(F.array_distinct(out)) if k == "set" and items else out), k
+    if k == "map":
+        parts = [[literal(x) for x in xs] for xs in (v.keys(), v.values())]
+        flat = [[tagged(*x) for x in xs] if len({x[1] for x in xs}) > 1 else [x[0] for x in xs] for xs in parts]
+        return F.create_map(*[c for kv in zip(*flat, strict=True) for c in kv]), k
     if k == "uuid":
         return F.lit(str(v)), k
     if k == "regex":
@@ -210,10 +233,29 @@ class Table:
     frame: DataFrame
     key: str | None
     ordinal: int
+    unique: bool = True  # no two rows share a key
+
+    def rows(self) -> DataFrame:
+        """The frame with what entity() reads.
+
+        Rows without a key are numbered before anything is filtered, by their place in the files, which
+        every scan of the same files sees alike; a frame that is no plain scan is numbered once and written.
+        """
+        if self.key:
+            return self.frame
+        if self._numbered is None:
+            from quarry.plans.scratch import cut
+
+            out = self.frame.withColumn(ROW, F.monotonically_increasing_id())
+            plain = self.frame._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+            self._numbered = out if plain else cut(out)
+        return self._numbered
+
+    _numbered: DataFrame | None = field(default=None, repr=False, compare=False)
 
     def entity(self) -> Column:
-        key = F.col(self.key).cast("bigint") if self.key else F.monotonically_increasing_id()
-        return F.lit(self.ordinal << KEY_BITS).cast("bigint") + key
+        """The entity of a row of rows()."""
+        return F.lit(self.ordinal << KEY_BITS).cast("bigint") + F.col(f"`{self.key or ROW}`").cast("bigint")
 
 
 @dataclass
@@ -275,6 +317,13 @@ class Database:
         both = condition if before is None else (lambda a, e, v: before(a, e, v) & condition(a, e, v))
         return replace(self, condition=both)
 
+    def detached(self, attr: str) -> Database:
+        """A column of a table as a stored attribute: the form that writes change."""
+        if attr not in self.virtual:
+            return self
+        frame = replace(self, condition=None).relation(attr)
+        return replace(self, virtual={a: at for a, at in self.virtual.items() if a != attr}, stored=self.stored | {attr: frame})
+
     # -- reading
 
     def attrs(self) -> list[str]:
@@ -285,7 +334,7 @@ class Database:
         if attr in self.virtual:
             name, column = self.virtual[attr]
             t = self.tables[name]
-            out = t.frame.select(t.entity().alias("e"), _widen(F.col(column), self.kinds[attr]).alias("v")).filter("v is not null").withColumns({"tx": F.lit(TX0).cast("bigint"), "added": F.lit(True)})
+            out = t.rows().select(t.entity().alias("e"), _widen(F.col(f"`{column}`"), self.kinds[attr]).alias("v")).filter("v is not null").withColumns({"tx": F.lit(TX0).cast("bigint"), "added": F.lit(True)})
         elif attr in self.stored:
             out = self.stored[attr]
         else:
@@ -296,11 +345,29 @@ class Database:
         return self.kinds.get(attr, "string")
 
     def datoms_frame(self, attrs: list[str] | None = None) -> DataFrame:
-        """e, a, v (tagged), tx, added over several attributes; all by default."""
+        """e, a, v (tagged), tx, added over several attributes; all by default.  A table is scanned once, whatever the number of its columns."""
+        names = self.attrs() if attrs is None else attrs
+        by: dict[str, list[str]] = {}
+        for a in names:
+            if a in self.virtual:
+                by.setdefault(self.virtual[a][0], []).append(a)
         out = None
-        for a in self.attrs() if attrs is None else attrs:
-            one = self.relation(a).select("e", F.lit(a).alias("a"), tagged(F.col("v"), self.kind(a)).alias("v"), "tx", "added")
+        for table, own in by.items():
+            t = self.tables[table]
+            entity = t.entity()
+            pairs = []
+            for a in own:
+                c = _widen(F.col(f"`{self.virtual[a][1]}`"), self.kind(a))
+                keep = c.isNotNull() if self.condition is None else c.isNotNull() & self.condition(a, entity, c)
+                pairs.append(F.when(keep, F.struct(F.lit(a).alias("a"), tagged(c, self.kind(a)).alias("v"))))
+            # a plain inner explode of the columns that hold something
+            one = t.rows().select(entity.alias("e"), F.explode(F.array_compact(F.array(*pairs))).alias("p"))
+            one = one.select("e", "p.a", "p.v", F.lit(TX0).cast("bigint").alias("tx"), F.lit(True).alias("added"))
             out = one if out is None else out.unionByName(one)
+        for a in names:
+            if a not in self.virtual:
+                one = self.relation(a).select("e", F.lit(a).alias("a"), tagged(F.col("v"), self.kind(a)).alias("v"), "tx", "added")
+                out = one if out is None else out.unionByName(one)
         return out if out is not None else self.spark.createDataFrame([], f"e bigint, a string, v {TAGGED}, tx bigint, added boolean")
 
     def entid(self, ref) -> int | None:
