@@ -1,13 +1,17 @@
 """Chat formatting over a prefix tree.
 
-A conversation is a path of turns.  Conversations that share their first turns
-share those nodes: a node is named by a digest that is chained from its parent's
-over role and text, so equal prefixes get equal names on any executor and no
-tree is ever held in one place.  A node's segment (the formatted turn and its
-token ids) is emitted once.  Sorting nodes by their path (the digests from the
-root, 16 bytes a turn, however many) puts them depth-first;
-a running sum over that order gives each node's place in the packed stream, in
-two levels so that no task sums all.  position_start counts tokens from the
+A conversation is a path of turns.  Conversations are sorted by their whole
+paths (a digest a turn), which puts the leaves of the tree in depth-first order:
+the turns that a conversation has in common with the one before it are nodes
+that stand already, and what follows them is new.  A walk over the sorted rows
+with a stack of open nodes therefore emits every node's segment (the formatted
+turn and its token ids) once, depth-first, however deep the tree is.
+
+Rows are dealt by ranges of the path and each range is walked by itself.  Where
+a range begins inside a subtree, its first row emits nodes again that an earlier
+range has; a summary a range (its first and last path and its number of tokens)
+tells how many, and by how much its places move.  No tree and no group of
+conversations is ever held in one place.  position_start counts tokens from the
 root; a conversation's ancestors' attention intervals are the places of the
 nodes on its path.
 
@@ -20,15 +24,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from itertools import accumulate
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe
-from quarry.llm.common import written
+from quarry.llm.common import small_batches, written
 
 BOS = "<s>"
 #: Opening and closing marks; roles beyond these three carry their (escaped) name.
@@ -51,14 +55,16 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(lambda m: "\\" * (len(m[1]) // 2) + m[2], text)
 
 
-def segment(role: str, text: str) -> tuple[str, int, int]:
-    """A formatted turn, and where its loss mask starts and ends in it (code points; 0, 0 if it isn't trained on)."""
+def segment(role: str, text: str, root: bool = False) -> tuple[str, int, int]:
+    """A formatted turn, a root's with ``<s>`` before it, and where its loss mask starts and ends in it (code points; 0, 0 if it isn't trained on)."""
     body = escape(text)
     if role in MARKS:
         start, end = MARKS[role]
         head = f"{start} "
     else:
         head, end = f"{OTHER[0]} {escape(role)} {OTHER[1]} ", OTHER[2]
+    if root:
+        head = BOS + head
     return f"{head}{body} {end}", *((len(head), len(head) + len(body)) if role == TRAINED else (0, 0))
 
 
@@ -81,111 +87,187 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def _chain(parent: bytes, role: str, text: str) -> bytes:
-    r = role.encode()
-    return hashlib.blake2b(parent + len(r).to_bytes(8, "big") + r + text.encode(), digest_size=16).digest()
+def talks(conversations: DataFrame) -> DataFrame:
+    """conv_id, roles, texts, path of each conversation; conversations: conv_id, turn, role, text.
 
-
-TURNS = "conv_id long, depth int, node string, parent string, role string, text string, path binary"
+    Turns are in order of turn (ties: role, then text; a null turn comes first); nulls count as empty.  A row
+    without conv_id is a conversation of its own, so that strangers are not put together.  A conversation is one
+    row, since its template needs it whole; path is a digest a turn, side by side, so a shared start is a prefix.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text")).alias("t"))
+    known = rows.filter("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    alone = rows.filter("conv_id is null").select("conv_id", F.array("t").alias("t"))
+    both = known.unionByName(alone)
+    unit = lambda t: F.md5(F.concat(F.length(t["role"]).cast("string"), F.lit(":"), t["role"], t["text"]))
+    return both.select("conv_id", F.transform("t", lambda t: t["role"]).alias("roles"), F.transform("t", lambda t: t["text"]).alias("texts"), F.array_join(F.transform("t", unit), "").alias("path"))
 
 
-def _paths(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """The rows of one conversation as nodes, in order of turn (ties: role, then text)."""
-    pdf = pdf.fillna({"role": "", "text": ""}).sort_values(["turn", "role", "text"], kind="stable", na_position="first")
-    node, path, rows = b"", b"", []
-    for depth, (role, text) in enumerate(zip(pdf["role"], pdf["text"], strict=True)):
-        parent = node
-        node = _chain(parent, role, text)
-        # the digests from the root on: a parent's path is a strict prefix of its children's, so it sorts right before them
-        path = path + node
-        rows.append((key[0], depth, node.hex(), parent.hex(), role, text, path))
-    return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in TURNS.split(", ")])
+#: Hexadecimal digits of a turn's digest in a path.
+UNIT = 32
+WALKED = (
+    "kind int, part int, talk long, conv_id long, nodes array<string>, starts array<long>, first_new int, path string, tokens long, "
+    "roles array<string>, segments array<string>, loss array<struct<a: int, b: int>>, ids array<array<int>>"
+)
 
 
-def turn_nodes(conversations: DataFrame) -> DataFrame:
-    """Each turn with its node and parent; conversations: conv_id, turn, role, text (nulls count as empty, a null turn comes first)."""
-    return conversations.select("conv_id", "turn", "role", "text").groupBy("conv_id").applyInPandas(_paths, TURNS)
+def _walk(path: str):
+    """Walk sorted conversations: a row a conversation (kind 0) with its nodes and what it is the first to have, and a summary at the end (kind 1).
 
+    starts: places of the nodes in the range's own stream; roles, segments, loss and ids are those of the nodes from first_new on.
+    """
+    names = [x.strip().split(" ")[0] for x in ("kind int", "part int", "talk long", "conv_id long", "nodes", "starts", "first_new", "path", "tokens", "roles", "segments", "loss", "ids")]
+    kinds = [
+        pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int32(), pa.string(), pa.int64(),
+        pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.list_(pa.int32())),
+    ]
 
-def _running(nodes: DataFrame) -> DataFrame:
-    """Add dfs_start: tokens before the node in depth-first order.
+    def frame(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    Nodes are dealt by ranges of the path; sums of the parts (one row a part) are added up on one task.
+    def run(batches):
+        codec = bpe.load(path)
+        part = TaskContext.get().partitionId()
+        before, nodes, starts, total, k = "", [], [], 0, 0
+        first = None
+        for b in batches:
+            shared, made = [], []
+            paths, ids, all_roles, all_texts = (b.column(x).to_pylist() for x in ("path", "conv_id", "roles", "texts"))
+            last = before
+            for now, roles, texts in zip(paths, all_roles, all_texts, strict=True):
+                n = _common(last, now)
+                shared.append(n)
+                made.append([(roles[j], *segment(roles[j], texts[j], j == 0)) for j in range(n, len(roles))])
+                last = now
+            tokens = codec.encode([m[1] for one in made for m in one])
+            out = []
+            for now, conv_id, n, new in zip(paths, ids, shared, made, strict=True):
+                del nodes[n:], starts[n:]
+                own = [next(tokens).tolist() for _ in new]
+                for j, x in enumerate(own, n):
+                    nodes.append(hashlib.blake2b(now[: UNIT * (j + 1)].encode(), digest_size=16).hexdigest())
+                    starts.append(total)
+                    total += len(x)
+                out.append((0, part, (part << 36) + k, conv_id, list(nodes), list(starts), n, None, None, [m[0] for m in new], [m[1] for m in new], [{"a": m[2], "b": m[3]} for m in new], own))
+                first = first or (now, [*starts, total])
+                before, k = now, k + 1
+            if out:
+                yield frame(out)
+        if first:
+            # the first and the last row's paths and places; of the first also where its last node ends
+            yield frame([(1, part, j, None, None, s, None, p, total, None, None, None, None) for j, (p, s) in enumerate((first, (before, list(starts))))])
+
+    return run
+
+
+def _common(a: str, b: str) -> int:
+    """Turns that two paths have in common from the start."""
+    n, k = min(len(a), len(b)), 0
+    while k < n and a[k : k + UNIT] == b[k : k + UNIT]:
+        k += UNIT
+    return k // UNIT
+
+
+CARRY = "part int, again long, base long, places array<long>"
+
+
+def _carry(summaries) -> list[tuple]:
+    """For each range: tokens that it emits again, the place where its own begin, and the places of the nodes it has from before.
+
+    summaries: two rows a range, in order.  A fold over as many rows as there are ranges.
     """
-    spark = nodes.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = nodes.repartitionByRange(parts, "path", "node").withColumn("part", F.spark_partition_id())
-    dealt = written(dealt, "nodes")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy("part").agg(F.sum("n_tokens").alias("s")).withColumn("base", F.coalesce(F.sum("s").over(before), F.lit(0))).select("part", "base")
-    inside = Window.partitionBy("part").orderBy("path", "node").rowsBetween(Window.unboundedPreceding, -1)
-    # a row a part: its size is bounded by the number of parts
-    dealt = dealt.join(F.broadcast(sums), "part")
-    return dealt.withColumn("dfs_start", F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).drop("base", "part")
+    out, end, before, places = [], 0, "", []
+    rows = iter(summaries)
+    for head, tail in zip(rows, rows, strict=True):
+        n = _common(before, head.path)
+        again = head.starts[n]
+        base, inherited = end - again, places[:n]
+        out.append((head.part, again, base, inherited))
+        places = [inherited[j] if s < again else base + s for j, s in enumerate(tail.starts)]
+        before, end = tail.path, base + tail.tokens
+    return out
 
 
-def prefix_tree(turns: DataFrame, path: str | None = None) -> DataFrame:
-    """One row a node of the tree: node, parent, depth, path, role, segment, loss_start, loss_end (in the segment),
-    ids, n_tokens, n_shared (turns that stand on it), dfs_start.
+def format_tree(conversations: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(tree, paths), both as written.
 
-    turns: the rows of turn_nodes().  A root's segment starts with ``<s>``.
+    tree: one row a node: node, parent ('' for a root), depth, role, segment, loss_start, loss_end (in the segment), ids,
+    n_tokens, dfs_start (tokens before the node, depth-first).  A root's segment starts with ``<s>``.
+    paths: talk (one a conversation), conv_id, nodes, starts (dfs_start of each node on the path).
     """
     path = path or bpe.default_path()
-    same = turns.groupBy("node", "parent", "depth", "path", "role", "text").agg(F.count(F.lit(1)).alias("n_shared"))
-
-    def shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = bpe.load(path)
-        for pdf in batches:
-            made = [segment(r, t) for r, t in zip(pdf["role"], pdf["text"], strict=True)]
-            made = [(BOS + s, a + len(BOS) * (b > 0), b + len(BOS) * (b > 0)) if p == "" else (s, a, b) for (s, a, b), p in zip(made, pdf["parent"], strict=True)]
-            ids = [x.astype(np.int32) for x in codec.encode([m[0] for m in made])]
-            yield pdf.drop(columns=["text"]).assign(segment=[m[0] for m in made], loss_start=[m[1] for m in made], loss_end=[m[2] for m in made], ids=ids, n_tokens=[len(x) for x in ids])
-
-    shaped = same.select("node", "parent", "depth", "path", "role", "n_shared", "text").mapInPandas(
-        shape, "node string, parent string, depth int, path binary, role string, n_shared long, segment string, loss_start int, loss_end int, ids array<int>, n_tokens int"
-    )
-    return _running(shaped)
+    spark = conversations.sparkSession
+    small_batches(spark)
+    rows = written(talks(conversations), "talks")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # equal conversations part by their ids
+    dealt = rows.repartitionByRange(parts, "path", "conv_id").sortWithinPartitions("path", "conv_id")
+    walked = written(dealt.mapInArrow(_walk(path), WALKED), "walked")
+    # two rows a range, each with one path: their number is that of the ranges
+    summaries = walked.filter("kind = 1").select("part", "talk", "path", "starts", "tokens").orderBy("part", "talk").collect()
+    carry = F.broadcast(spark.createDataFrame(_carry(summaries), CARRY))
+    found = walked.filter("kind = 0").join(carry, "part")
+    place = lambda s, j: F.when(s < F.col("again"), F.element_at("places", (j + 1).cast("int"))).otherwise(s + F.col("base"))
+    paths = found.select("talk", "conv_id", "nodes", F.transform("starts", place).alias("starts"))
+    new = F.arrays_zip("roles", "segments", "loss", "ids")
+    own = found.select("nodes", "starts", "first_new", "again", "base", F.posexplode(new).alias("k", "x")).withColumn("depth", F.col("first_new") + F.col("k"))
+    local = F.element_at("starts", F.col("depth") + 1)
+    tree = own.filter(local >= F.col("again")).select(
+        F.element_at("nodes", F.col("depth") + 1).alias("node"), F.when(F.col("depth") > 0, F.try_element_at("nodes", F.col("depth"))).otherwise("").alias("parent"), "depth", F.col("x.roles").alias("role"),
+        F.col("x.segments").alias("segment"), F.col("x.loss.a").alias("loss_start"), F.col("x.loss.b").alias("loss_end"), F.col("x.ids").alias("ids"), F.size("x.ids").alias("n_tokens"), (local + F.col("base")).alias("dfs_start"),
+    )
+    return written(tree, "tree"), written(paths, "paths")
 
 
-def read_back(turns: DataFrame, tree: DataFrame) -> DataFrame:
+def read_back(tree: DataFrame, paths: DataFrame) -> DataFrame:
     """Each conversation put together from the tree's nodes and parsed again:
 
     conv_id, formatted, turns (array of role, text), loss_spans (start, end in formatted), loss_text,
     position_starts (tokens from the root, a node each), intervals (dfs_start, dfs_end of each ancestor, itself last).
     """
-    on_path = turns.select("conv_id", "depth", "node").join(tree.select("node", "segment", "loss_start", "loss_end", "n_tokens", "dfs_start"), "node")
-
-    def join_up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("depth")
-        formatted = "".join(pdf["segment"])
-        at = np.concatenate([[0], np.cumsum(pdf["segment"].str.len())[:-1]]).astype(int)
-        spans = [(int(o + a), int(o + b)) for o, a, b in zip(at, pdf["loss_start"], pdf["loss_end"], strict=True) if b > 0]
-        n = pdf["n_tokens"].to_numpy()
-        parsed = parse(formatted)
-        return pd.DataFrame(
-            [
-                {
-                    "conv_id": key[0],
-                    "formatted": formatted,
-                    "turns": [{"role": r, "text": t} for r, t in parsed],
-                    "loss_spans": [{"start": a, "end": b} for a, b in spans],
-                    "loss_text": "".join(unescape(formatted[a:b]) for a, b in spans),
-                    "position_starts": np.concatenate([[0], np.cumsum(n)[:-1]]).tolist(),
-                    "intervals": [{"start": int(s), "end": int(s + k)} for s, k in zip(pdf["dfs_start"], n, strict=True)],
-                }
-            ]
-        )
+    small_batches(tree.sparkSession)
+    steps = paths.select("talk", "conv_id", F.posexplode("nodes").alias("depth", "node"))
+    nodes = tree.select("node", F.struct("segment", "loss_start", "loss_end", "n_tokens", "dfs_start").alias("n"))
+    # a plain equi-join: a node that many conversations share is split by adaptive execution
+    joined = steps.join(nodes, "node").groupBy("talk", "conv_id").agg(F.array_sort(F.collect_list(F.struct("depth", "n"))).alias("s"))
+    field = lambda name: F.transform("s", lambda x: x["n"][name])
+    rows = joined.select(
+        "conv_id", field("segment").alias("segments"), field("n_tokens").alias("n_tokens"),
+        F.filter(F.transform("s", lambda x, j: F.struct(j.alias("j"), x["n"]["loss_start"].alias("a"), x["n"]["loss_end"].alias("b"))), lambda x: x["b"] > 0).alias("loss"),
+        F.transform("s", lambda x: F.struct(x["n"]["dfs_start"].alias("start"), (x["n"]["dfs_start"] + x["n"]["n_tokens"]).alias("end"))).alias("intervals"),
+    )
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    turns = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+    names = ["conv_id", "formatted", "turns", "loss_spans", "loss_text", "position_starts", "intervals"]
+
+    def run(batches):
+        for b in batches:
+            out: list[list] = [[], [], [], [], []]
+            for segments, counts, loss in zip(*(b.column(x).to_pylist() for x in ("segments", "n_tokens", "loss")), strict=True):
+                formatted = "".join(segments)
+                at = [0, *accumulate(map(len, segments))]
+                marked = [(at[x["j"]] + x["a"], at[x["j"]] + x["b"]) for x in loss]
+                for to, v in zip(
+                    out,
+                    (
+                        formatted, [{"role": r, "text": t} for r, t in parse(formatted)], [{"start": x, "end": y} for x, y in marked],
+                        "".join(unescape(formatted[x:y]) for x, y in marked), [0, *accumulate(counts)][:-1],
+                    ),
+                    strict=True,
+                ):
+                    to.append(v)
+            kinds = [pa.string(), turns, spans, pa.string(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), *(pa.array(c, type=k) for c, k in zip(out, kinds, strict=True)), b.column("intervals")], names=names)
 
     schema = "conv_id long, formatted string, turns array<struct<role: string, text: string>>, loss_spans array<struct<start: int, end: int>>, loss_text string, position_starts array<long>, intervals array<struct<start: long, end: long>>"
-    return on_path.groupBy("conv_id").applyInPandas(join_up, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def format_chats(conversations: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(tree, conversations read back).  Empty input gives empty tables; repeated rows of a conversation are turns of their own;
-    a conversation that repeats another under a new conv_id adds no node."""
-    turns = written(turn_nodes(conversations), "turns")
-    tree = written(prefix_tree(turns, path), "tree")
-    return tree, read_back(turns, tree)
+    a conversation that repeats another under a new conv_id adds no node; rows without conv_id are conversations of one turn."""
+    tree, paths = format_tree(conversations, path)
+    return tree, read_back(tree, paths)
 
 
 def digests(read: DataFrame) -> DataFrame:

@@ -224,6 +224,7 @@ def test_chat(spark):
     places = sorted((n.dfs_start, n.dfs_start + n.n_tokens) for n in nodes)
     assert all(a[1] == b[0] for a, b in zip(places, places[1:], strict=False))
     where = {n.node: n for n in nodes}
+    assert len(where) == len(nodes)
     for n in nodes:  # depth first: a node comes after its parent, before anything that is not below the parent
         if n.parent:
             assert where[n.parent].dfs_start < n.dfs_start
@@ -247,6 +248,46 @@ def test_tree_is_depth_first(spark):
         open_nodes.append(n.node)
 
 
+def test_tree_in_many_ranges(spark):
+    """Ranges that begin inside subtrees: few conversations a range, and equal ones in several."""
+    rng = random.Random(4)
+    talks = [(c, t, "user" if t % 2 == 0 else "assistant", "same" if t < 12 else f"{rng.randint(0, 1)}") for c in range(60) for t in range(rng.choice([3, 12, 14, 18]))]
+    talks += [(None, 0, "user", "same"), (None, 0, "user", "same"), (None, 5, None, None), (77, None, "user", "x"), (77, None, "user", "x"), (77, 1, "user", "x")]
+    frame = spark.createDataFrame(talks, "conv_id long, turn long, role string, text string")
+    by = collections.defaultdict(list)
+    for k, (c, t, r, x) in enumerate(talks):
+        by[c if c is not None else ("alone", k)].append((t if t is not None else -1, r or "", x or ""))
+    paths = {c: tuple((r, x) for _, r, x in sorted(v)) for c, v in by.items()}
+    prefixes = {p[: k + 1] for p in paths.values() for k in range(len(p))}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    outs = []
+    for parts in ("1", "37"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            tree, read = chat_tree.format_chats(frame)
+            nodes, got = sorted(tree.collect(), key=lambda n: n.dfs_start), read.collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert len(nodes) == len({n.node for n in nodes}) == len(prefixes)
+        open_nodes, at, where = [], 0, {}
+        for n in nodes:
+            assert n.dfs_start == at
+            at += n.n_tokens
+            while open_nodes and open_nodes[-1] != n.parent:
+                open_nodes.pop()
+            assert (open_nodes[-1] if open_nodes else "") == n.parent and n.depth == len(open_nodes)
+            open_nodes.append(n.node)
+            where[n.dfs_start] = n
+        assert collections.Counter(tuple((t.role, t.text) for t in r.turns) for r in got) == collections.Counter(paths.values())
+        for r in got:
+            on = [where[i.start] for i in r.intervals]
+            assert [n.depth for n in on] == list(range(len(r.turns))) and all(b.parent == a.node for a, b in zip(on, on[1:], strict=False))
+            assert [i.end - i.start for i in r.intervals] == [n.n_tokens for n in on] and r.formatted == "".join(n.segment for n in on)
+            assert list(r.position_starts) == [sum(n.n_tokens for n in on[:k]) for k in range(len(on))]
+        outs.append(sorted((str(r.conv_id), r.formatted) for r in got))
+    assert outs[0] == outs[1]
+
+
 def test_escape_is_reversible():
     rng = random.Random(1)
     for _ in range(500):
