@@ -4,9 +4,10 @@ Arrivals are a stream of (digest, doc_id, locator); the locator names the file
 that holds the content.  A streaming aggregation keyed by digest holds, in
 RocksDB, the digest, the identifier that stays (the largest), its locator and
 how many have arrived; without a watermark no key expires.  Every micro-batch
-writes the keys that it changed.  Equal digests are hits: their full bytes are
-read again and compared, and should a digest hold unequal contents, those are
-told apart by the bytes themselves.  All of it is DataFrame and SQL functions.
+writes the keys that it changed.  Digests that came more than once are hits: the
+full bytes of their documents, and of no others, are read again and compared,
+and should a digest hold unequal contents, those are told apart by the bytes
+themselves.  All of it is DataFrame and SQL functions.
 """
 
 from __future__ import annotations
@@ -83,23 +84,40 @@ def exact_duplicates(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
         return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
     # written, so that the join reads two plain exchanges and a hot digest can be split
     state = written(kept_state(spark, f"{root}/changes"), "state")
-    found = came.join(state, "digest").select("doc_id", "digest", "text_sha256", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"))
-    # hits: the full bytes under one digest are one content unless digests collide; copies meet map-side, so a hot group leaves a row a task
-    digest = F.sha2(content(), 256) if digest_bits >= 256 else F.substring(F.sha2(content(), 256), 1, digest_bits // 4)
-    contents = docs.select("doc_id", digest.alias("digest"), content().alias("content")).groupBy("digest", "content").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("size"))
-    contents = contents.select("digest", "keep", "size", F.sha2("content", 256).alias("text_sha256"))
-    collided = contents.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1").select("digest")
-    collided = written(collided, "collided")
+    names = ["doc_id", "keep_id", "group_size", "text_sha256"]
+    found = came.join(state, "digest").select("digest", "doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), "text_sha256")
+    collided, contents = _collisions(docs, written(state.filter("n > 1").select("digest"), "hits"), digest_bits)
     if collided.take(1):
-        told = contents.join(collided, "digest", "left_semi").select("digest", "text_sha256", F.col("keep").alias("keep_2"), F.col("size").alias("size_2"))
-        found = found.join(told, ["digest", "text_sha256"], "left").withColumns({"keep_id": F.when(F.col("size_2").isNotNull(), F.col("keep_2")).otherwise(F.col("keep_id")), "group_size": F.coalesce("size_2", "group_size")})
+        held = contents.join(collided, "digest", "left_semi").select(F.col("digest").alias("d"), F.col("content").alias("c"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"))
+        rows = _contents(docs, digest_bits).join(collided, "digest", "left_semi")
+        told = rows.join(held, (F.col("digest") == F.col("d")) & (F.col("content") == F.col("c"))).select("doc_id", "keep_id", "group_size", F.sha2("content", 256).alias("text_sha256"))
+        found = found.join(collided, "digest", "left_anti").select(*names).unionByName(told)
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def _contents(docs: DataFrame, digest_bits: int) -> DataFrame:
+    digest = F.sha2(content(), 256) if digest_bits >= 256 else F.substring(F.sha2(content(), 256), 1, digest_bits // 4)
+    return docs.select("doc_id", digest.alias("digest"), content().alias("content"))
+
+
+def _collisions(docs: DataFrame, hits: DataFrame, digest_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Digests that hold several contents, and the contents (digest, content, keep, size) under all hits.
+
+    hits is a written table, so Spark knows its size: it is broadcast if it is small, and then only the bytes of
+    hits leave the scan.  Copies meet map-side, so a hot group leaves a row a task.
+    """
+    rows = _contents(docs, digest_bits).join(hits, "digest", "left_semi")
+    contents = rows.groupBy("digest", "content").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("size"))
+    several = contents.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1").select("digest")
+    return written(several, "collided"), contents
+
+
 def drop_exact_duplicates(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
     """The rows of docs that stay, with docs' own columns; of rows that repeat a kept doc_id with one text all stay.
 
     A doc_id that repeats with other texts stays only with those that it is kept for.
     """
-    kept = exact_duplicates(docs, digest_bits).filter("kept").select(F.col("doc_id").alias("__quarry_id"), F.col("text_sha256").alias("__quarry_digest")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__quarry_id")) & (F.sha2(content(), 256) == F.col("__quarry_digest")), "left_semi")
+    # what goes is joined, not what stays: a written table of as many rows as there are copies
+    gone = exact_duplicates(docs, digest_bits).filter("not kept").select(F.col("doc_id").alias("__quarry_id"), F.col("text_sha256").alias("__quarry_digest")).distinct()
+    gone = written(gone, "gone")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__quarry_id")) & (F.sha2(content(), 256) == F.col("__quarry_digest")), "left_anti")
