@@ -6,11 +6,12 @@ doc_id.  Fingerprints within ``RADIUS`` bits agree on some ``BANDS - RADIUS``
 of ``BANDS`` bands, so each is filed once under every such choice of bands and
 only members of one block are compared: no pair within the radius is missed.
 
-Inside a block, a table of Hamming distances from every member to the reference
-fingerprints (pivots) is computed once.  By the triangle inequality a pair is
-out of reach if any coordinate of the two rows differs by more than the radius;
-members are walked in the order of one coordinate, pairs are discarded by the
-largest coordinate difference, and what survives is verified bit by bit.  Of the
+Every distinct fingerprint's row of the pivot table, its Hamming distances to the
+reference fingerprints, is computed once and travels with it.  By the triangle
+inequality a pair is out of reach if any coordinate of the two rows differs by
+more than the radius; members of a block are walked in the order of one
+coordinate, every pair is judged by the largest coordinate difference, and what
+survives is verified bit by bit.  Of the
 verified links a block gives a spanning forest (linear in its members), never
 all pairs.  Blocks above ``TILE`` members are cut into tiles of two chunks, so a
 hot block is spread over many tasks and no task holds more than a tile.
@@ -98,9 +99,9 @@ def _forest(fps: np.ndarray, split: int, table: np.ndarray, radius: int) -> list
     split: 0, or pairs are only between members before and from this number on.
     """
     n = len(fps)
-    if n == 2:
-        return [(0, 1)] if int(fps[0] ^ fps[1]).bit_count() <= radius else []
     rows = table
+    if n == 2:
+        return [(0, 1)] if np.abs(rows[0] - rows[1]).max() <= radius and int(fps[0] ^ fps[1]).bit_count() <= radius else []
     left = np.argsort(rows[:, 0], kind="stable")
     first = np.arange(n) < split
     found: list[tuple[int, int]] = []
@@ -121,11 +122,18 @@ def _forest(fps: np.ndarray, split: int, table: np.ndarray, radius: int) -> list
     return found
 
 
+def pivot_table(nodes: DataFrame, n_pivots: int = N_PIVOTS) -> DataFrame:
+    """nodes with ``row``: a byte a pivot, the fingerprint's distance to it."""
+    refs = [int(x) - (1 << 64) if int(x) >> 63 else int(x) for x in pivots(n_pivots)]
+    one = lambda r: F.lpad(F.hex(F.bit_count(F.col("fp").bitwiseXOR(F.lit(r).cast("long"))).cast("long")), 2, "0")
+    return nodes.withColumn("row", F.unhex(F.concat(*[one(r) for r in refs])))
+
+
 def links(nodes: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """nodes: fp, node (both unique).  Returns u, v: links that connect whatever pairs within the radius connect."""
     spark = nodes.sparkSession
-    keyed = nodes.withColumn("mask", F.explode(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in band_masks(n, radius)])))
-    keyed = keyed.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "node")
+    keyed = pivot_table(nodes).withColumn("mask", F.explode(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in band_masks(n, radius)])))
+    keyed = keyed.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "node", "row")
     sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # written, so that the join below reads two plain exchanges and a hot block can be split
     sizes = written(sizes, "sizes")
@@ -134,12 +142,11 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> D
     filed = filed.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     filed = filed.select(
         F.struct("mask", "key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b")).alias("tile"),
-        F.struct((F.col("chunk") > F.least("chunk", "other")).alias("second"), "fp", "node").alias("member"),
+        F.struct((F.col("chunk") > F.least("chunk", "other")).alias("second"), "fp", "node", "row").alias("member"),
     )
     tiles = filed.groupBy("tile").agg(F.sort_array(F.collect_list("member")).alias("members")).filter("size(members) > 1")
     tiles = tiles.select((F.col("tile.a") < F.col("tile.b")).alias("two"), "members")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 256)
-    refs = pivots()
 
     def run(batches):
         for batch in batches:
@@ -152,13 +159,13 @@ def links(nodes: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> D
             second = np.asarray(flat.field("second").to_numpy(zero_copy_only=False), dtype=bool)
             fp = flat.field("fp").to_numpy().view(np.uint64)
             node = flat.field("node").to_numpy()
+            rows = np.frombuffer(b"".join(flat.field("row").to_pylist()), dtype=np.uint8).reshape(len(node), -1).astype(np.int16)
             for k, pair in enumerate(two):
                 a, b = int(ends[k]), int(ends[k + 1])
                 split = int((~second[a:b]).sum()) if pair else 0
                 if pair and split in (0, b - a):
                     continue
-                table = np.bitwise_count(fp[a:b, None] ^ refs[None, :]).astype(np.int16) if b - a > 2 else None
-                for i, j in _forest(fp[a:b], split, table, radius):
+                for i, j in _forest(fp[a:b], split, rows[a:b], radius):
                     us.append(int(node[a + i]))
                     vs.append(int(node[a + j]))
             yield pa.RecordBatch.from_arrays([pa.array(us, type=pa.int64()), pa.array(vs, type=pa.int64())], names=["u", "v"])
