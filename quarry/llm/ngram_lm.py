@@ -28,11 +28,12 @@ ORDER = 4
 #: Characters in a chunk, about.
 CHUNK = 4_000_000
 #: Shards of n-grams; with more partitions than that, chunks are salted, and each salt has a copy of the shards' tables.
-SHARDS, SHARD_PRIME = 256, 1_000_003
+SHARDS, SHARD_PRIME, SHARD_MASK = 256, 1_000_003, (1 << 63) - 1
 #: Rows of an Arrow batch of n-grams, and n-grams gathered before they are made distinct.
 BATCH, GATHER = 4096, 1_000_000
-#: A symbol has 12 bits: 0 before the start, 1 the end, then code points up to 3999, the rest in 94 classes.
-BITS, START, END, PLAIN, CLASSES = 12, 0, 1, 4000, 94
+#: A symbol has 16 bits: 0 before the start, 1 the end, then every code point below U+D800 and those from U+E000 to U+FFFF
+#: for itself; in the room that surrogates leave, the rest (emoji, rare ideographs) share 2,046 classes.
+BITS, START, END, GAP, GAP_END, CLASSES = 16, 0, 1, 0xD800, 0xE000, 2046
 #: A trusted document's language quantile above which documents go.
 QUANTILE = 0.995
 #: Steps of a nat of log perplexity in which quantiles are counted.
@@ -41,7 +42,8 @@ STEPS = 1000
 
 def symbols(text: str) -> np.ndarray:
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return np.where(c < PLAIN, c + 2, PLAIN + 2 + c % CLASSES).astype(np.uint64)
+    low, high = c < GAP, (c >= GAP_END) & (c < 0x10000)
+    return np.where(low, c + 2, np.where(high, c, GAP + 2 + c % CLASSES)).astype(np.uint64)
 
 
 def grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +59,7 @@ def grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]
     code = np.zeros(len(row) - order + 1, np.uint64)
     for k in range(order):
         code = code << np.uint64(BITS) | row[k : len(row) - order + 1 + k]
-    return code[row[order - 1 :] != START].astype(np.int64), n
+    return code[row[order - 1 :] != START].view(np.int64), n
 
 
 def _pack(data: bytes, level: int = 3) -> bytes:
@@ -140,12 +142,12 @@ def count_tables(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame,
     table = written(counts, "counts")
     for k in range(order, 0, -1):
         if k < order:
-            below = F.col("code").bitwiseAND(F.lit((1 << (BITS * k)) - 1))
+            below = F.col("code").bitwiseAND(F.lit((1 << (BITS * k)) - 1).cast("long"))
             table = written(table.select(below.alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("c")), "counts")
         n = table.filter("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()  # four rows at most
         n = {r.c: r.n for r in n}
         d1, d2, d3 = discounts(*(n.get(i, 0) for i in (1, 2, 3, 4)))
-        context = F.shiftright("code", BITS).alias("context")
+        context = F.shiftrightunsigned("code", BITS).alias("context")
         one = lambda i: F.sum((F.col("c") == i).cast("long")) if i < 3 else F.sum((F.col("c") >= 3).cast("long"))
         gamma = table.groupBy(context).agg(F.sum("c").alias("total"), ((d1 * one(1) + d2 * one(2) + d3 * one(3)) / F.sum("c")).alias("gamma"))
         cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
@@ -158,16 +160,16 @@ def probabilities(codes: DataFrame, tables: list[tuple[DataFrame, DataFrame]], v
     """code, logp for distinct codes: p_k = lead_k + gamma_k p_(k-1); an unseen context passes the order below on, and below all stands 1 / vocabulary."""
     now = codes.select("code").withColumn("p", F.lit(1.0 / vocabulary))
     for k, (lead, gamma) in enumerate(tables, 1):
-        part = F.col("code").bitwiseAND(F.lit((1 << (BITS * k)) - 1))
+        part = F.col("code") if k * BITS >= 64 else F.col("code").bitwiseAND(F.lit((1 << (BITS * k)) - 1).cast("long"))
         now = now.withColumn("part", part).join(lead.withColumnRenamed("code", "part"), "part", "left")
-        now = now.withColumn("context", F.shiftright("part", BITS)).join(gamma, "context", "left")
+        now = now.withColumn("context", F.shiftrightunsigned("part", BITS)).join(gamma, "context", "left")
         now = now.select("code", (F.coalesce("lead", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("p")).alias("p"))
     return now.select("code", F.log("p").alias("logp"))
 
 
 def _by_shard(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of sorted distinct codes by shard, and where each shard starts and ends in it."""
-    shard = code % SHARD_PRIME % SHARDS
+    shard = (code & SHARD_MASK) % SHARD_PRIME % SHARDS
     return np.argsort(shard, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=SHARDS))])
 
 
@@ -214,7 +216,7 @@ def _look_up(cells: DataFrame, logp: DataFrame) -> DataFrame:
     """chunk, shard, logs: for each cell the log probabilities of its codes, in their order, as compressed 32-bit floats."""
     partitions = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salts = max(1, partitions // SHARDS)
-    shard = ((F.col("code") % SHARD_PRIME) % SHARDS).cast("int").alias("shard")
+    shard = ((F.col("code").bitwiseAND(F.lit(SHARD_MASK)) % SHARD_PRIME) % SHARDS).cast("int").alias("shard")
     model = logp.select(shard, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("chunk"), "code", F.col("logp").cast("float").alias("logp"), F.lit(None).cast("binary").alias("codes"))
     asked = cells.select("shard", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), "chunk", F.lit(0).cast("long").alias("code"), F.lit(0).cast("float").alias("logp"), "codes")
 
@@ -245,7 +247,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity of every row of docs (doc_id, lang, text), by a model of the rows whose doc_id is in trusted (doc_id).
 
     n_symbols counts characters; a text's end is predicted too, so an empty or null text has a
-    perplexity as well.  A null lang is ''.  Without trusted rows every symbol has probability 1 / 4096.
+    perplexity as well.  A null lang is ''.  Without trusted rows every symbol has probability 1 / 65536.
     """
     spark = docs.sparkSession
     table = chunks(docs)
@@ -275,10 +277,10 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """lang, threshold: the smallest step of log perplexity that a share ``quantile`` of the rows does not exceed; lang '*' over all."""
+    """lang, threshold: the smallest step of log perplexity that a share ``quantile`` of the rows does not exceed; a null lang: over all rows."""
     step = F.ceil(F.log("perplexity") * STEPS).alias("step")
     bins = scored.groupBy("lang", step).agg(F.count(F.lit(1)).alias("n"))
-    bins = bins.withColumn("lang", F.explode(F.array("lang", F.lit("*")))).groupBy("lang", "step").agg(F.sum("n").alias("n"))
+    bins = bins.withColumn("lang", F.explode(F.array("lang", F.lit(None)))).groupBy("lang", "step").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy("lang").orderBy("step")
     ranked = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
     return ranked.filter(F.col("upto") >= quantile * F.col("all")).groupBy("lang").agg(F.exp(F.min("step") / STEPS).alias("threshold"))
@@ -293,7 +295,7 @@ def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> Da
     scored = written(perplexities(docs, trusted), "scored")
     known = trusted.select("doc_id").distinct()
     limits = written(thresholds(scored.join(known, "doc_id", "left_semi"), quantile), "limits")
-    every = limits.filter("lang = '*'").select("threshold").take(1)
+    every = limits.filter("lang is null").select("threshold").take(1)
     rest = F.lit(every[0].threshold if every else float("inf"))
-    out = scored.join(limits.filter("lang <> '*'"), "lang", "left").withColumn("threshold", F.coalesce("threshold", rest))
+    out = scored.join(limits.filter("lang is not null"), "lang", "left").withColumn("threshold", F.coalesce("threshold", rest))
     return out.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", ((F.col("perplexity") <= F.col("threshold")) & (F.col("n_symbols") > 0)).alias("kept"))

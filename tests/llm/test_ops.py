@@ -301,16 +301,22 @@ def test_histogram(docs, rows, empty):
     codec = bpe.load(bpe.default_path())
     n = [len(x) for x in codec.encode([r[1] or "" for r in rows])]
     table = token_hist.token_report(docs).cache()
-    for r in table.filter("scope = '*'").collect():
+    for r in table.filter("every").collect():
         x = r.context_limit
         assert (r.n_docs, r.n_longer, r.n_tokens_total) == (n.count(x), sum(k > x for k in n), sum(n))
         assert r.truncated_tokens == sum(min(k, x) for k in n) and r.tokens_in_longer == sum(k for k in n if k > x)
-    for r in token_hist.limit_report(table, [0, 7, 100, 10**6]).filter("scope = '*'").collect():
+    for r in token_hist.limit_report(table, [0, 7, 100, 10**6]).filter("every").collect():
         assert r.truncated_tokens == sum(min(k, r.limit) for k in n)
-    assert token_hist.quantile(table, 0.5).filter("scope = '*'").first().n_tokens == sorted(n)[(len(n) + 1) // 2 - 1]
+    assert token_hist.quantile(table, 0.5).filter("every").first().n_tokens == sorted(n)[(len(n) + 1) // 2 - 1]
     assert token_hist.token_report(empty).count() == 0
 
 
+def test_a_scope_named_like_the_sum(spark):
+    frame = spark.createDataFrame([("*", "a b"), ("en", "a b c"), ("en", "a b c"), (None, "")], "lang string, text string")
+    got = {(r.scope, r.every): r.n_docs_total for r in token_hist.token_report(frame).collect()}
+    assert got == {("*", False): 1, ("en", False): 2, ("", False): 1, ("*", True): 4}
+
+
 def test_quality(spark, docs, rows, empty):
     rng = random.Random(9)
     good = [(1000 + k, words(rng, 80)) for k in range(60)]
@@ -342,26 +348,34 @@ def test_kneser_ney(spark, docs):
     assert len(got) == 34 and got[100].perplexity > 5 * got[102].perplexity and not got[100].kept and not got[101].kept
     # against a plain implementation of the same model
     codes = collections.Counter(np.concatenate([ngram_lm.grams([t])[0] for _, t, _ in trusted]).tolist())
-    tables = []
+    tables, M = [], (1 << 64) - 1
     for k in range(4, 0, -1):
         n = collections.Counter(codes.values())
         d = ngram_lm.discounts(*(n[i] for i in (1, 2, 3, 4)))
         by = collections.defaultdict(list)
         for c, v in codes.items():
-            by[c >> 12].append(v)
-        tables.append((dict(codes), {h: (sum(v), sum(d[min(x, 3) - 1] for x in v) / sum(v)) for h, v in by.items()}, d))
-        codes = collections.Counter(c & ((1 << 12 * (k - 1)) - 1) for c in codes)
+            by[(c & M) >> 16].append(v)
+        tables.append(({c & M: v for c, v in codes.items()}, {h: (sum(v), sum(d[min(x, 3) - 1] for x in v) / sum(v)) for h, v in by.items()}, d))
+        codes = collections.Counter(c & ((1 << 16 * (k - 1)) - 1) for c in codes)
     def p(code):
-        out = 1 / 4096
+        out = 1 / 65536
         for k, (c, h, d) in enumerate(tables[::-1], 1):
-            x = code & ((1 << 12 * k) - 1)
-            total, gamma = h.get(x >> 12, (1, 1.0))
+            x = code & ((1 << 16 * k) - 1)
+            total, gamma = h.get(x >> 16, (1, 1.0))
             out = (max(c[x] - d[min(c[x], 3) - 1], 0) / total if x in c else 0) + gamma * out
         return out
     text = other[2][1]
     logs = [np.log(p(c)) for c in ngram_lm.grams([text])[0].tolist()]
     assert got[102].perplexity == pytest.approx(np.exp(-np.mean(logs)), rel=1e-6)
     assert ngram_lm.judge(frame.limit(0), known).count() == 0
+    # every character of the basic plane is a symbol of its own; code points beyond it share classes
+    far = ngram_lm.symbols("".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)])))
+    assert len(np.unique(far)) == len(far) and far.min() == 2 and far.max() < 1 << 16
+    assert not set(ngram_lm.symbols("🙂🎈").tolist()) & set(far.tolist())
+    # a language named like a sign for all is one language; repeated ids are judged row by row
+    star = spark.createDataFrame([(i, t, "*" if i < 15 else "en") for i, t, _ in trusted] + [(3, "#$%& 1234 ##", "*"), (3, words(rng, 90), "*")], "doc_id long, text string, lang string")
+    held = ngram_lm.judge(star, known).collect()
+    assert len(held) == 32 and len({r.threshold for r in held if r.lang == "*"}) == 1 and len({r.threshold for r in held}) == 2
     assert ngram_lm.judge(frame, known.limit(0)).filter("kept").count() == 32
 
 
