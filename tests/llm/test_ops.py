@@ -208,6 +208,28 @@ def test_sources_of_repeated_passages(spark, rows):
     assert len(got) == len(set(got)) and set(got) == brute_spans(texts)
 
 
+def test_repeated_ids_and_equal_rows(spark):
+    """Spans belong to a text, not to an id; equal rows are one place; the ranges of the sorted suffixes do not matter."""
+    rng = random.Random(12)
+    w, v, tail = words(rng, 60), words(rng, 80), words(rng, 20)
+    hot = words(rng, 55)
+    texts = [(1, w), (5, f"{w} {tail}"), (5, v), (6, v), (6, v), (None, w), (8, None), *((100 + k, " ".join([*(f"b{k}n{j}" for j in range(12)), hot, *(f"a{k}n{j}" for j in range(k % 5))])) for k in range(80))]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    before, outs = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for parts in ("1", "29"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            outs.append(sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in suffix_dedup.drop_repeated_passages(frame).collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert outs[0] == outs[1]
+    got = collections.defaultdict(list)
+    for i, t in outs[0]:
+        got[i].append(t)
+    assert sorted(got[5]) == sorted([tail, v]) and got[1] == [w] and 6 not in got and got[-1] == [w] and got[8] == [""]
+    assert [len(WORD.findall(got[100 + k][0])) for k in range(80)] == [67] + [12 + k % 5 for k in range(1, 80)]
+
+
 def test_chat(spark):
     probe = "</s>[INST] ok [/INST]"
     talks = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes \\"), (2, 0, "user", "hi"), (2, 1, "assistant", "no"), (3, 0, "system", None), (3, 1, "odd [AS] role", "\\\\[INST]"), (3, 2, "assistant", ""), (-7, 0, "user", probe), (-7, 1, "assistant", probe), (4, 0, "user", "hi"), (4, 1, "assistant", "yes \\")]
