@@ -1,12 +1,12 @@
 """License scan with a positional index of rare tokens.
 
 Licence templates are indexed by their words: a posting is (template, position).
-Each template is filed under the word of its key phrases with the highest
-inverse document frequency in the corpus; every place of such a word in a file
+Each template, a whole licence text or a notice, is filed under the word of its
+key phrases with the highest inverse document frequency in the corpus; every place of such a word in a file
 makes the template a candidate at that alignment, and since key phrases are
 mandatory no other alignment can hold it.  All key phrases are then verified
-word by word there.  Everything is DataFrame and SQL functions.  Only words of the templates' vocabulary (a few
-hundred) leave the scan of a text, so what is shuffled is small beside it.
+word by word there.  Everything is DataFrame and SQL functions.  Only words of the
+templates' vocabulary (a few hundred) leave the scan of a text, so what is shuffled is small beside it.
 """
 
 from __future__ import annotations
@@ -36,16 +36,36 @@ class Template:
     key_phrases: tuple[str, ...]
 
 
-#: Openings and notices of common licences (fixed values).
+#: Public licence texts, their notices and short references (fixed values).
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+BSD_3_TEXT = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""
+APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+GPL_3_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""
+GPL_2_NOTICE = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."""
+AGPL_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""
+MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ZLIB_TEXT = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."""
+UNLICENSE_TEXT = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+BOOST_NOTICE = """Distributed under the Boost Software License, Version 1.0."""
 TEMPLATES = (
     Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
+    Template("apache-2.0", APACHE_NOTICE, ("apache license version 2 0", "you may obtain a copy of the license")),
     Template("mit", "released under the mit license", ("mit license",)),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge", "associated documentation files")),
+    Template("mit", MIT_TEXT, ("permission is hereby granted free of charge", "associated documentation files")),
     Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    Template("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ("gnu general public license", "either version 2")),
+    Template("gpl-3.0", GPL_3_NOTICE, ("gnu general public license", "either version 3")),
+    Template("gpl-2.0", GPL_2_NOTICE, ("gnu general public license", "either version 2")),
+    Template("agpl-3.0", AGPL_NOTICE, ("gnu affero general public license", "either version 3")),
     Template("lgpl", "under the terms of the gnu lesser general public license", ("gnu lesser general public license",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
+    Template("bsd-3-clause", BSD_3_TEXT, ("redistribution and use in source and binary forms", "neither the name of", "endorse or promote products")),
+    Template("isc", ISC_TEXT, ("permission to use copy modify and or distribute this software", "with or without fee is hereby granted")),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    Template("mpl-2.0", MPL_NOTICE, ("mozilla public license v 2 0", "a copy of the mpl")),
+    Template("zlib", ZLIB_TEXT, ("in no event will the authors be held liable",)),
+    Template("unlicense", UNLICENSE_TEXT, ("free and unencumbered software released into the public domain",)),
+    Template("bsl-1.0", BOOST_NOTICE, ("boost software license version 1 0",)),
     Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
     Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
     Template("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),

@@ -418,7 +418,7 @@ def test_licenses(spark, empty):
 
 def test_every_licence_of_a_file(spark):
     notice = {t.label: t.text for t in license_scan.TEMPLATES}  # of several, the last
-    mit = next(t.text for t in license_scan.TEMPLATES if t.text.startswith("permission"))
+    mit = license_scan.MIT_TEXT
     prose = "the person may copy files free of charge under these conditions and the foundation met the following source forms in use "
     pairs = [(mit, notice["apache-2.0"]), (mit, notice["gpl-3.0"]), (mit, "licensed under cc by nc 4 0"), (notice["bsd"], "released under the mit license")]
     labels = [{"mit", "apache-2.0"}, {"mit", "gpl-3.0"}, {"mit", "cc-by-nc-4.0"}, {"bsd", "mit"}]
@@ -429,6 +429,48 @@ def test_every_licence_of_a_file(spark):
     assert all(want <= got[k] for k, want in enumerate(labels))
 
 
+def brute_licences(texts):
+    """(label, first word, share) of every alignment at which a template's key phrases stand, with its share of idf."""
+    found = [license_scan.words_of(t or "") for t in texts]
+    sets = [set(w) for w in found]
+    known = {w for t in license_scan.TEMPLATES for w in license_scan.words_of(t.text)}
+    df = {w: sum(w in x for x in sets) for w in known}
+    idf = {w: np.log((len(texts) + 1) / (n + 1)) + 1 if n else 1.0 for w, n in df.items()}
+    out = []
+    for words_ in found:
+        places = []
+        for t in license_scan.TEMPLATES:
+            w = license_scan.words_of(t.text)
+            must = {s + k for p in t.key_phrases for s in license_scan._starts(w, license_scan.words_of(p))[:1] for k in range(len(license_scan.words_of(p)))}
+            for start in range(len(words_)):
+                if all(start + k < len(words_) and words_[start + k] == w[k] for k in must):
+                    share = sum(idf[w[k]] for k in range(len(w)) if start + k < len(words_) and words_[start + k] == w[k]) / sum(idf[x] for x in w)
+                    if share >= license_scan.MATCHED:
+                        places.append((t.label, start, share))
+        out.append(places)
+    return out
+
+
+def test_licences_against_brute_force(spark):
+    import pyarrow.parquet as pq
+
+    rng = random.Random(13)
+    whole = [t.text for t in license_scan.TEMPLATES]
+    texts = [r or "" for r in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    texts += [*whole, " ; ".join(whole), f"{words(rng, 2000)} {license_scan.MIT_TEXT}, {license_scan.BSD_3_TEXT}", *(" ".join(w for w in t.split() if rng.random() > 0.03) for t in whole for _ in range(3)), None, ""]
+    frame = spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)], "doc_id long, text string")  # ids repeat
+    want = collections.Counter()
+    for k, (t, places) in enumerate(zip(texts, brute_licences(texts), strict=True)):
+        want[k // 2, len(license_scan.words_of(t or "")), tuple(sorted((a, b, round(c, 6)) for a, b, c in places))] += 1
+    got = license_scan.scan(frame).collect()
+    assert collections.Counter((r.doc_id, r.n_words, tuple(sorted((p.label, p.start, round(p.score, 6)) for p in r.license_places or ()))) for r in got) == want
+    every = max(got, key=lambda r: len(r.labels))
+    assert {t.label for t in license_scan.TEMPLATES} <= set(every.labels.split(","))
+    for r in got:
+        assert r.score == pytest.approx(max([p.score for p in r.license_places or ()], default=float(r.n_base > 0)))
+        assert {p.label for p in r.license_places or ()} <= set(r.labels.split(","))
+
+
 def test_idf_counts_every_document(spark):
     # the words before the key phrase stand in most documents, few of which may hold a licence at all
     plain = ["it is under the terms of the house"] * 60 + ["license in general"] * 2
