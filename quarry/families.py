@@ -370,6 +370,14 @@ def rule_with_bound_argument(spark, sf_dir):
     return plan("[:find ?b :keys orderkey :in $e % ?a :where (reach ?a ?b)]", edges, "[[(reach ?x ?y) [$e ?x ?y]] [(reach ?x ?y) (reach ?x ?z) [$e ?z ?y]]]", 1)
 
 
+@made(MADE["rule_with_bound_argument"][1])
+def rule_with_bound_start(spark, sf_dir):
+    """The same, asked of a rule that changes its first argument: the values that are asked for are followed first."""
+    orders = _read(spark, sf_dir, "orders").filter("o_totalprice > 20000")
+    edges = orders.select(F.expr("o_orderkey div 2").alias("k"), F.col("o_orderkey").alias("t")).filter("t > 1")
+    return plan("[:find ?b :keys orderkey :in $e % :where (reach 1 ?b)]", edges, "[[(reach ?x ?y) [$e ?x ?y]] [(reach ?x ?y) [$e ?x ?z] (reach ?z ?y)]]")
+
+
 # ---- aggregates ---------------------------------------------------------------------------------------------------------
 
 

@@ -776,6 +776,63 @@ def _within(df: DataFrame, bound_at: dict[int, object], state: State) -> DataFra
     return df
 
 
+def _asked(env: Env, args: list, group: list[str], rules: dict, handed: dict) -> dict[int, DataFrame]:
+    """For places that the call binds to a constant and recursion changes: all values (``_w``) that are ever asked for there.
+
+    They are followed from the constant through the clauses beside the one recursive call of each branch, so that
+    the fixpoint holds only what hangs on it, not the whole closure.  Other shapes of rules are left unrestricted.
+    """
+    from quarry.plans.scratch import cut
+
+    if len(group) != 1:
+        return {}
+    (name,) = group
+    steps = []
+    for r in rules[name]:
+        own = [c for c in r.clauses if isinstance(c, RuleCall) and c.name == name]
+        if own:
+            steps.append((r, own[0], [c for c in r.clauses if c is not own[0]]))
+        if len(own) > 1 or any(c.source != "$" for c in own) or calls_in([c for c in r.clauses if c not in own]) & {name}:
+            return {}
+    out = {}
+    for k, a in enumerate(args):
+        if k in handed or is_var(a) or a == "_":
+            continue
+        lit, kind = literal(a)
+        if kind not in ("long", "string"):
+            continue
+        total = [cut(env.spark.range(0, 1, 1, 1).select(lit.alias("_w")))]
+        delta = total[0]
+        try:
+            for _ in range(env.max_rounds):
+                found = None
+                for r, c, rest in steps:
+                    t, p = c.args[k], r.params[k]
+                    if t == p:
+                        continue
+                    s = compile_clauses(env, rest, State(delta.select(F.col("_w").alias(p)), {p: kind}), {t}) if is_var(t) else None
+                    if s is None or s.vars.get(t) != kind:
+                        raise InsufficientBindings("not followed")
+                    one = s.df.select(s.col(t).alias("_w"))
+                    found = one if found is None else found.unionByName(one)
+                if found is None:
+                    break
+                have = total[0]
+                for part in total[1:]:
+                    have = have.unionByName(part)
+                delta = cut(found.distinct().join(have, "_w", "left_anti"))
+                if delta.isEmpty():
+                    break
+                total = [*total, delta] if len(total) < PARTS else [cut(have.unionByName(delta))]
+        except InsufficientBindings:
+            continue
+        have = total[0]
+        for part in total[1:]:
+            have = have.unionByName(part)
+        out[k] = have
+    return out
+
+
 #: Written parts of a recursive rule's rows that are read side by side.
 PARTS = 8
 
@@ -797,8 +854,15 @@ def fixpoint(env: Env, name: str, state: State, args: list) -> tuple[DataFrame,
                     raise QueryError(f"rule {n} negates a rule of its own recursion")
     base_env = replace(env, consts={})
     bound_at = _handed_on(env, state, args, group, rules)
+    asked = _asked(base_env, args, group, rules, bound_at)
 
     def project(s: State, r: Rule) -> DataFrame:
+        out = projected(s, r)
+        for k, wanted in asked.items():
+            out = out.join(wanted, F.col(f"p{k}") == F.col("_w"), "left_semi")
+        return out
+
+    def projected(s: State, r: Rule) -> DataFrame:
         missing = [p for p in r.params if p not in s.vars]
         if missing:
             raise InsufficientBindings(f"Insufficient bindings: {missing} not bound by rule {r.name}")

@@ -1,4 +1,4 @@
-"""Cutting lineage in the folder that all executors share."""
+"""Cutting lineage by tables in the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,9 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint a frame under the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """A frame as a table in the shared folder: computed once, and its size is known to the plans that read it."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    if not df.columns or any(isinstance(f.dataType, T.NullType) for f in df.schema.fields):
+        return df.checkpoint()  # what Parquet cannot hold
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

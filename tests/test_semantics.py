@@ -78,6 +78,22 @@ def test_keywords_order_by_namespace_then_name(spark):
     assert q("[:find ?x ?y :where [_ :w ?x] [_ :w ?y] [(< ?x ?y)]]", db) == sorted([(":a/z", ":a-b/c"), (":a/b", ":a-b/c"), (":a/b", ":a/z"), (":z", ":a/z"), (":z", ":a-b/c"), (":z", ":a/b")])
 
 
+def test_recursion_from_a_constant_follows_only_what_it_asks_for(spark, monkeypatch):
+    from quarry.plans import compiler
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), *((k, k + 1) for k in range(100, 140))], "a long, b long")
+    seen = []
+    real = compiler._asked
+    monkeypatch.setattr(compiler, "_asked", lambda *a: seen.append(real(*a)) or seen[-1])
+    right = "[[(reach ?x ?y) [$e ?x ?y]] [(reach ?x ?y) [$e ?x ?z] (reach ?z ?y)]]"
+    assert q("[:find [?b ...] :in $e % :where (reach 1 ?b)]", edges, right) == [1, 2, 3]
+    assert sorted(r._w for r in seen[0][0].collect()) == [1, 2, 3]
+    assert q("[:find [?a ...] :in $e % :where (reach ?a 3)]", edges, right) == [1, 2, 3]
+    assert len(q("[:find ?a ?b :in $e % :where (reach ?a ?b)]", edges, right)) == 9 + 40 * 41 // 2
+    twice = "[[(reach ?x ?y) [$e ?x ?y]] [(reach ?x ?y) (reach ?x ?z) (reach ?z ?y)]]"
+    assert q("[:find [?b ...] :in $e % :where (reach 2 ?b)]", edges, twice) == [1, 2, 3]
+
+
 def test_frames_take_xforms_and_defaults(spark):
     db = Database.of_datoms(spark, [(1, ":n", "a"), (2, ":m", "b")], schema_of({}))
     got = {r.e: r.pulled.asDict() for r in pull_frame(db, '[(:n :xform vector) (:m :default "none")]').collect()}
