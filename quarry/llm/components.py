@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import forget, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large: each node's greater neighbours move to its smallest neighbour (or itself); small: the node and its smaller ones do."""
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """The new edges, and a written table that they read.  Large: each node's greater neighbours move to its smallest neighbour (or itself); small: the node and its smaller ones do."""
     if large:
         pairs = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
@@ -29,7 +29,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").distinct()
+    return out.filter("u <> v").distinct(), least
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -39,14 +39,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     def state(df: DataFrame) -> tuple:
         h = F.xxhash64("u", "v")
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftrightunsigned(h, 32))).first())
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first())  # no number of edges overflows
 
     before = state(now)
     for _ in range(max_rounds):
         if not before[0]:
             break
-        after = written(_star(_star(now, True), False), "edges")
-        forget(now)
+        grown, first = _star(now, True)
+        shrunk, second = _star(grown, False)
+        after = written(shrunk, "edges")
+        for table in (now, first, second):
+            forget(table)
         now, at = after, state(after)
         if at == before:
             break
