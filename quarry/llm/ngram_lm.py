@@ -12,7 +12,7 @@ its perplexity is not above a quantile of the trusted documents' in its language
 
 from __future__ import annotations
 
-import pickle
+import json
 from itertools import pairwise
 
 import numpy as np
@@ -70,8 +70,8 @@ def _unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """chunk, ids (doc_ids), content (compressed langs and texts) of all rows, as a table bucketed by chunk in the shared folder."""
+def chunks(docs: DataFrame) -> tuple[DataFrame, str]:
+    """chunk, ids (doc_ids), content (compressed langs and texts) of all rows, as a table bucketed by chunk in the shared folder, and its name in the catalog."""
     spark = docs.sparkSession
     small_batches(spark)
 
@@ -82,7 +82,7 @@ def chunks(docs: DataFrame) -> DataFrame:
 
         def packed():
             ids, *rest = group
-            columns = [pa.array([first + n]), pa.array([ids], type=pa.list_(pa.int64())), pa.array([_pack(pickle.dumps(rest), 9)], type=pa.binary())]
+            columns = [pa.array([first + n]), pa.array([ids], type=pa.list_(pa.int64())), pa.array([_pack(json.dumps(rest).encode(), 9)], type=pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "content"])
 
         for b in batches:
@@ -101,11 +101,12 @@ def chunks(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "chunk long, ids array<long>, content binary")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows.write.bucketBy(buckets, "chunk").option("path", name).saveAsTable(table)
-    return spark.table(table)
+    return spark.table(table), table
 
 
 def _open(content: bytes) -> tuple[list, list]:
-    return pickle.loads(_unpack(content))
+    langs, texts = json.loads(_unpack(content))
+    return langs, texts
 
 
 def _train_counts(table: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -250,7 +251,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     perplexity as well.  A null lang is ''.  Without trusted rows every symbol has probability 1 / 65536.
     """
     spark = docs.sparkSession
-    table = chunks(docs)
+    table, name = chunks(docs)
     small_batches(spark, 2)
     counts = _train_counts(table, trusted.select("doc_id").filter("doc_id is not null").distinct())
     tables = count_tables(counts)
@@ -273,7 +274,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
                 sums = np.add.reduceat(logs[place], np.concatenate([[0], np.cumsum(n)[:-1]]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(langs, type=pa.string()), pa.array(n - 1), pa.array(np.exp(-sums / n))], names=names)
 
-    return table.join(back, "chunk").select("ids", "content", "answers").mapInArrow(run, "doc_id long, lang string, n_symbols long, perplexity double")
+    scored = written(table.join(back, "chunk").select("ids", "content", "answers").mapInArrow(run, "doc_id long, lang string, n_symbols long, perplexity double"), "scored")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")  # from the catalog; its files are scratch
+    return scored
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -292,7 +295,7 @@ def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> Da
     Languages without trusted rows take the threshold over all; without any trusted row all is kept.
     A text without a character is not kept.
     """
-    scored = written(perplexities(docs, trusted), "scored")
+    scored = perplexities(docs, trusted)
     known = trusted.select("doc_id").distinct()
     limits = written(thresholds(scored.join(known, "doc_id", "left_semi"), quantile), "limits")
     every = limits.filter("lang is null").select("threshold").take(1)
