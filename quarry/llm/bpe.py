@@ -199,13 +199,17 @@ class RankArrayBpe:
             at = m.end()
         return out + self.words(text[at:])
 
-    def pieces(self, texts: list[str]) -> Iterator[tuple[list[str | int], list[bytes]]]:
-        """For each text its words and their ids as bytes; special tokens stand as an integer in the first."""
+    def pieces(self, texts: list[str], specials: bool = True) -> Iterator[tuple[list[str | int], list[bytes]]]:
+        """For each text its words and their ids as bytes; special tokens stand as an integer in the first.
+
+        Without specials their strings are ordinary text.
+        """
+        parts = self._parts if specials else self.words
         k = 0
         while k < len(texts):
             group, size = [], 0
             while k < len(texts) and (not group or size < CHUNK):
-                group.append(self._parts(texts[k]))
+                group.append(parts(texts[k]))
                 size, k = size + len(texts[k]), k + 1
             if len(self.cache) > CACHED:
                 self.cache = {}
@@ -220,8 +224,8 @@ class RankArrayBpe:
             for words, raw in zip(group, found, strict=True):
                 yield words, list(map(self.cache.__getitem__, words)) if None in raw else raw  # type: ignore[arg-type]
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for _, raw in self.pieces(texts):
+    def encode(self, texts: list[str], specials: bool = True) -> Iterator[np.ndarray]:
+        for _, raw in self.pieces(texts, specials):
             yield np.frombuffer(b"".join(raw), dtype="<u4")
 
     def decode(self, ids: Iterable[int]) -> str:

@@ -139,7 +139,8 @@ def _walk(path: str):
                 shared.append(n)
                 made.append([(roles[j], *segment(roles[j], texts[j], j == 0)) for j in range(n, len(roles))])
                 last = now
-            tokens = codec.encode([m[1] for one in made for m in one])
+            # the tokenizer's own special strings are ordinary text here: no user can write one
+            tokens = codec.encode([m[1] for one in made for m in one], specials=False)
             out = []
             for now, conv_id, n, new in zip(paths, ids, shared, made, strict=True):
                 del nodes[n:], starts[n:]
