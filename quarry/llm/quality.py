@@ -185,7 +185,7 @@ def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Train on at most ``rows`` labelled rows: those whose doc_id hashes lowest, whatever the tables' size.
 
-    labels: doc_id, quality (0 or 1; others and nulls are left out).  Only the features of these rows
+    labels: doc_id, quality (0 or 1; others and nulls are left out; of labels that disagree about a doc_id, good wins).  Only the features of these rows
     reach the driver (a few kB each).
     """
     chosen = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))

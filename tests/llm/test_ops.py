@@ -56,6 +56,15 @@ def test_bpe_against_library(docs, rows, empty):
     assert bpe.round_trip(empty).count() == 0
     both = bpe.decode(bpe.encode(docs.limit(5))).collect()
     assert all(r.decoded == (r.text or "") for r in both)
+    # rows that repeat, with a column that is named like the result
+    frame = docs.sparkSession.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, "c", None)], "doc_id long, text string, ids string")
+    got = bpe.encode(frame)
+    assert got.columns == ["doc_id", "text", "ids"] and sorted((r.doc_id or 0, len(r.ids)) for r in got.collect()) == [(0, 1), (1, 2), (1, 2)]
+    assert bpe.round_trip(frame).count() == 3
+    # special strings as ordinary text
+    codec = bpe.load(bpe.default_path())
+    (plain,), (special,) = codec.encode(["<|endoftext|>"], specials=False), codec.encode(["<|endoftext|>"])
+    assert special.tolist() == [50256] and 50256 not in plain.tolist() and codec.decode(plain.tolist()) == "<|endoftext|>"
 
 
 def test_exact(docs, rows, empty):
@@ -310,6 +319,11 @@ def test_tree_in_many_ranges(spark):
     assert outs[0] == outs[1]
 
 
+def test_users_cannot_write_special_tokens(spark):
+    tree, _ = chat_tree.format_chats(spark.createDataFrame([(1, 0, "user", "a <|endoftext|> b")], "conv_id long, turn long, role string, text string"))
+    assert 50256 not in tree.first().ids
+
+
 def test_escape_is_reversible():
     rng = random.Random(1)
     for _ in range(500):
@@ -493,3 +507,63 @@ def test_pipeline_stages(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(1, 12))
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage by plain Python on the same rows: what stays, with which text, and that each of its ids lies in one piece."""
+    import zlib
+
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    passage = words(rng, 70)
+    base = [words(rng, rng.randint(60, 400)) for _ in range(40)]
+    texts = [*base, base[3].upper().replace("É", "é"), base[3], base[7] + " x" * 3, *(f"{words(rng, 80)} {passage} {words(rng, 30)}" for _ in range(5)), passage, "### $$$", None, "", "same words again " * 60, words(rng, 49)]
+    # near copies: one word of a long text changed
+    long = words(rng, 900).split()
+    texts += [" ".join(long), " ".join([*long[:450], "zz", *long[451:]])]
+    rows = [(i + 1, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    now = {}
+    for i, t, *_ in rows:  # quality rules: without labels the classifier keeps what the base rules keep
+        w = WORD.findall(t or "")
+        tri = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        hit = {k + d for k in range(len(w) - 2) if tri[w[k], w[k + 1], w[k + 2]] > 1 for d in range(3)}
+        if len(w) >= 50 and 100 * len(hit) <= 50 * len(w):
+            now[i] = t
+    last = {lower(t): i for i, t in sorted(now.items())}  # of equal texts the largest id
+    now = {i: now[i] for i in last.values()}
+    prints, root = {i: brute_print(t) for i, t in now.items()}, {i: i for i in now}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in now:
+        for j in now:
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert any(find(i) != i for i in now)
+    now = {i: t for i, t in now.items() if find(i) == i}
+    cut = collections.defaultdict(list)
+    for i, _, a, b in brute_spans(list(now.items())):
+        cut[i].append((a, b))
+    assert cut
+    now = {i: suffix_dedup.cut_out(t, sorted(set(cut[i]))) if i in cut else t for i, t in now.items()}
+    now = {i: t for i, t in now.items() if WORD.search(t)}
+    codec = bpe.load(bpe.default_path())
+    want = {i: np.append(ids, 0).astype("<u4") for i, ids in zip(now, codec.encode(list(now.values())), strict=True)}
+    got = collections.defaultdict(list)
+    for p in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[p.doc_id].append(p)
+    assert set(got) == set(want)
+    for i, ids in want.items():
+        at = 0
+        for p in sorted(got[i], key=lambda p: p.start):
+            assert (p.start, p.doc_tokens, p.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + p.length].tobytes()))
+            at += p.length
+        assert at == len(ids)
