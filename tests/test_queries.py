@@ -14,9 +14,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 #: One or more of each family; the driver runs all of them.
 FAMILIES = (
-    "types_of_values", "printing_collections", "contains_key_and_index", "regex_of_variable", "aggregate_top_n", "aggregate_random", "aggregate_callables", "keyless_get_else", "keyless_not", "callables", "callable_tuple", "input_map",
-    "rule_with_bound_argument", "rule_with_bound_start", "rule_over_orders", "bulk_add_report", "bulk_retract_entities", "bulk_upsert", "bulk_cas", "bulk_tuples", "pull_options", "pull_components", "pull_recursion", "pull_documents",
-    "storage_of_tables", "storage_snapshot_and_tail", "stream_of_facts", "connections", "entities", "tx_tempids", "datoms_by_ref", "with_from_the_api",
+    "types_of_values", "printing_collections", "contains_key_and_index", "regex_of_variable", "aggregate_top_n", "aggregate_random", "aggregate_callables", "keyless_not", "callables", "callable_tuple", "input_map",
+    "bulk_add_report", "bulk_retract_entities", "bulk_cas", "pull_options", "pull_components", "storage_of_tables", "stream_of_facts", "connections", "entities", "tx_tempids",
 )
 
 
