@@ -12,7 +12,10 @@ themselves.  All of it is DataFrame and SQL functions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import ascii_lower, new_path, written
@@ -26,6 +29,29 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
+#: Bits of the filter of hits, and what makes Spark use one however large the sides of the join are.
+BLOOM = 1 << 26
+PREFILTER = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1000t",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(BLOOM),
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": str(BLOOM),
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for as long as the block runs."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def content(column="text"):
@@ -45,11 +71,7 @@ def absorb(stream: DataFrame, state_dir: str, changes_dir: str) -> None:
 
     A second call with the same folders goes on from the state that the first one left.
     """
-    spark = stream.sparkSession
-    before = {k: spark.conf.get(k, None) for k in SETTINGS}
-    for k, v in SETTINGS.items():
-        spark.conf.set(k, v)
-    try:
+    with settings(stream.sparkSession, SETTINGS):
         state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("n"))
 
         def put(changed: DataFrame, batch: int) -> None:
@@ -57,9 +79,6 @@ def absorb(stream: DataFrame, state_dir: str, changes_dir: str) -> None:
 
         query = state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state_dir).trigger(availableNow=True).start()
         query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def kept_state(spark, changes_dir: str) -> DataFrame:
@@ -86,7 +105,7 @@ def exact_duplicates(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
     state = written(kept_state(spark, f"{root}/changes"), "state")
     names = ["doc_id", "keep_id", "group_size", "text_sha256"]
     found = came.join(state, "digest").select("digest", "doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), "text_sha256")
-    collided, contents = _collisions(docs, written(state.filter("n > 1").select("digest"), "hits"), digest_bits)
+    collided, contents = _collisions(docs, state.filter("n > 1").select("digest"), digest_bits)
     if collided.take(1):
         held = contents.join(collided, "digest", "left_semi").select(F.col("digest").alias("d"), F.col("content").alias("c"), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"))
         rows = _contents(docs, digest_bits).join(collided, "digest", "left_semi")
@@ -103,13 +122,15 @@ def _contents(docs: DataFrame, digest_bits: int) -> DataFrame:
 def _collisions(docs: DataFrame, hits: DataFrame, digest_bits: int) -> tuple[DataFrame, DataFrame]:
     """Digests that hold several contents, and the contents (digest, content, keep, size) under all hits.
 
-    hits is a written table, so Spark knows its size: it is broadcast if it is small, and then only the bytes of
-    hits leave the scan.  Copies meet map-side, so a hot group leaves a row a task.
+    A Bloom filter of the hits' digests, of BLOOM bits at most whatever their number, goes before the shuffle, so
+    that at any size hardly any bytes but those of hits leave the scan; the join after it is exact.  Copies meet
+    map-side, so a hot group leaves a row a task.
     """
     rows = _contents(docs, digest_bits).join(hits, "digest", "left_semi")
     contents = rows.groupBy("digest", "content").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("size"))
     several = contents.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1").select("digest")
-    return written(several, "collided"), contents
+    with settings(docs.sparkSession, PREFILTER):
+        return written(several, "collided"), contents
 
 
 def drop_exact_duplicates(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
