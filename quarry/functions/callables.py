@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.plans.query import QueryError
 
@@ -23,7 +24,13 @@ def _value(v):
 
 
 def function(f: Callable, returns: str) -> Callable[..., Column]:
-    """A Python function of values as a function of Columns, evaluated batch by batch; None drops the row."""
+    """A Python function of values as a function of Columns, evaluated batch by batch; None drops the row.
+
+    A type of several fields ("a bigint, b string") takes tuples or maps.
+    """
+    shape = T._parse_datatype_string(returns)
+    if isinstance(shape, T.StructType):
+        return _of_fields(f, shape)
 
     def over_batches(*series: pd.Series) -> pd.Series:
         return pd.Series([f(*(_value(x) for x in row)) for row in zip(*series, strict=True)], dtype=object)
@@ -33,6 +40,25 @@ def function(f: Callable, returns: str) -> Callable[..., Column]:
     return lambda *cols: run(*cols)
 
 
+def _of_fields(f: Callable, shape: T.StructType) -> Callable[..., Column]:
+    names = shape.fieldNames()
+
+    def over_batches(*series: pd.Series) -> pd.DataFrame:
+        rows = [f(*(_value(x) for x in row)) for row in zip(*series, strict=True)]
+        rows = [tuple(r[n] for n in names) if isinstance(r, dict) else r for r in rows]
+        cols = {n: pd.Series([None if r is None else r[k] for r in rows], dtype=object) for k, n in enumerate(names)}
+        return pd.DataFrame(cols | {"_some": [r is not None for r in rows]})
+
+    over_batches.__annotations__ = {}
+    run = F.pandas_udf(over_batches, T.StructType([*shape.fields, T.StructField("_some", T.BooleanType())]), functionType=F.PandasUDFType.SCALAR)
+
+    def column(*cols: Column) -> Column:
+        out = run(*cols)
+        return F.when(out["_some"], F.struct(*[out[n].alias(n) for n in names]))
+
+    return column
+
+
 def predicate(f: Callable) -> Callable[..., Column]:
     """A Python function of values as a filter; anything but None and False keeps the row."""
     return function(lambda *row: (out := f(*row)) is not None and out is not False, "boolean")

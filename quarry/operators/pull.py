@@ -292,8 +292,8 @@ def _plain(db: Database, s: Selector) -> str | None:
     schema = db.schema.get(s.name, Attr())
     if s.attr in ("*", ":db/id") or s.reverse or s.nested is not None or s.depth is not None or schema.many or schema.ref or s.name not in db.virtual:
         return None
-    t = db.tables[db.virtual[s.name][0]]
-    return t.name if t.unique else None
+    table = db.virtual[s.name][0]
+    return table if db.one_row_each(table) else None
 
 
 def _one_table(db: Database, spec: list[Selector]) -> str | None:

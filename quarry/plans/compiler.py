@@ -448,7 +448,7 @@ def rows_differ(env: Env, clauses: list, keep: list) -> bool:
     for c in clauses:
         if isinstance(c, Call):
             # a call without a binding filters; one that binds a variable adds a column, but range gives rows
-            if c.name in ("get-some", "missing?", "range") or isinstance(c.name, list) and c.binding is not None or not (c.binding is None or is_var(c.binding)):
+            if c.name in ("get-some", "get-else", "range") or isinstance(c.name, list) and c.binding is not None or not (c.binding is None or is_var(c.binding)):
                 return False
             continue
         db = env.sources.get(c.source)
@@ -460,7 +460,7 @@ def rows_differ(env: Env, clauses: list, keep: list) -> bool:
         table = db.virtual[name][0]
         found.add((c.source, table, c.terms[0]))
         t = db.tables[table]
-        if not t.unique or not t.key and c.terms[0] not in keep:
+        if not db.one_row_each(table) or not t.key and c.terms[0] not in keep:
             return False
         keyed |= c.terms[0] in keep or (db.virtual[name][1] == t.key and len(c.terms) == 3 and is_var(c.terms[2]) and c.terms[2] in keep)
     return len(found) == 1 and keyed

@@ -233,7 +233,6 @@ class Table:
     frame: DataFrame
     key: str | None
     ordinal: int
-    unique: bool = True  # no two rows share a key
 
     def rows(self) -> DataFrame:
         """The frame with what entity() reads.
@@ -317,6 +316,11 @@ class Database:
         both = condition if before is None else (lambda a, e, v: before(a, e, v) & condition(a, e, v))
         return replace(self, condition=both)
 
+    def one_row_each(self, table: str) -> bool:
+        """Whether no two rows of a table are one entity: it has no key, or its key is declared unique."""
+        key = self.tables[table].key
+        return key is None or any(at == (table, key) and self.schema.get(a, Attr()).unique for a, at in self.virtual.items())
+
     def detached(self, attr: str) -> Database:
         """A column of a table as a stored attribute: the form that writes change."""
         if attr not in self.virtual:
