@@ -78,6 +78,10 @@ class RankArrayBpe:
         right = np.array([vocab[b] for _, b in pairs], dtype=np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
         self._build(left << 20 | right)
+        #: The same ranks for one pair at a time.
+        self.pairs: dict[int, int] = {}
+        for rank, key in enumerate((left << 20 | right).tolist()):
+            self.pairs.setdefault(key, rank)
         self.cache: dict[str, bytes] = {}
 
     def _build(self, keys: np.ndarray) -> None:
@@ -147,7 +151,8 @@ class RankArrayBpe:
         heap = [(r, i) for i, r in enumerate(first.tolist()) if r != NONE]
         heapq.heapify(heap)
         live: list[int] = first.tolist() + [int(NONE)]
-        one = lambda a, b: int(self.rank(np.array([a]), np.array([b]))[0])
+        ranks, none = self.pairs, int(NONE)
+        one = lambda a, b: ranks.get(a << 20 | b, none)
         while heap:
             r, i = heapq.heappop(heap)
             if live[i] != r:
