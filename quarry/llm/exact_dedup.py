@@ -38,6 +38,9 @@ PREFILTER = {
     "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(BLOOM),
     "spark.sql.optimizer.runtime.bloomFilter.numBits": str(BLOOM),
     "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+    # a broadcast join would do without the filter, and only where hits are few
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
 }
 
 
@@ -122,12 +125,12 @@ def _contents(docs: DataFrame, digest_bits: int) -> DataFrame:
 def _collisions(docs: DataFrame, hits: DataFrame, digest_bits: int) -> tuple[DataFrame, DataFrame]:
     """Digests that hold several contents, and the contents (digest, content, keep, size) under all hits.
 
-    A Bloom filter of the hits' digests, of BLOOM bits at most whatever their number, goes before the shuffle, so
-    that at any size hardly any bytes but those of hits leave the scan; the join after it is exact.  Copies meet
-    map-side, so a hot group leaves a row a task.
+    A Bloom filter of the hits' digests, of BLOOM bits at most whatever their number, is pushed to the scan, so that
+    at any size hardly any bytes but those of hits leave it; the join is exact.  Copies meet map-side before anything
+    is shuffled, so a hot group leaves a row a task.
     """
-    rows = _contents(docs, digest_bits).join(hits, "digest", "left_semi")
-    contents = rows.groupBy("digest", "content").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("size"))
+    contents = _contents(docs, digest_bits).groupBy("digest", "content").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("size"))
+    contents = contents.join(hits, "digest", "left_semi")
     several = contents.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1").select("digest")
     with settings(docs.sparkSession, PREFILTER):
         return written(several, "collided"), contents
@@ -138,7 +141,8 @@ def drop_exact_duplicates(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
 
     A doc_id that repeats with other texts stays only with those that it is kept for.
     """
-    # what goes is joined, not what stays: a written table of as many rows as there are copies
+    # what goes is joined, not what stays: a written table of as many rows as there are copies.  It grows with docs, so
+    # the join is a merge join at every size
     gone = exact_duplicates(docs, digest_bits).filter("not kept").select(F.col("doc_id").alias("__quarry_id"), F.col("text_sha256").alias("__quarry_digest")).distinct()
-    gone = written(gone, "gone")
+    gone = written(gone, "gone").hint("merge")
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__quarry_id")) & (F.sha2(content(), 256) == F.col("__quarry_digest")), "left_anti")
