@@ -196,7 +196,8 @@ def _windows(docs: DataFrame, firsts: DataFrame, min_words: int, head: int) -> D
     """a, b (128 bits), doc_id, tk, start, pos, several of each window of ``min_words`` in which a suffix of firsts (doc_id, tk, pos, several) has the least head."""
     reach = min_words - head
     wanted = firsts.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("pos", "several")).alias("places"))  # at most a document's own suffixes
-    rows = _named(docs).join(wanted, ["doc_id", "tk"])
+    # wanted grows with docs: a merge join at every size
+    rows = _named(docs).join(wanted.hint("merge"), ["doc_id", "tk"])
     small_batches(docs.sparkSession)
     names = ["a", "b", "doc_id", "tk", "start", "pos", "several"]
 
@@ -321,7 +322,8 @@ def drop_repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, head: in
     spans = written(repeated_spans(docs, min_words, head), "spans").select(F.col("doc_id").alias("__quarry_id"), F.col("tk").alias("__quarry_tk"), F.col("spans").alias("__quarry_spans"))
     small_batches(docs.sparkSession)
     names = docs.columns
-    joined = docs.join(spans, (F.col("doc_id") == F.col("__quarry_id")) & (F.xxhash64("text") == F.col("__quarry_tk")), "left").drop("__quarry_id", "__quarry_tk")
+    # spans grow with docs: a merge join at every size
+    joined = docs.join(spans.hint("merge"), (F.col("doc_id") == F.col("__quarry_id")) & (F.xxhash64("text") == F.col("__quarry_tk")), "left").drop("__quarry_id", "__quarry_tk")
 
     def run(batches):
         for batch in batches:
